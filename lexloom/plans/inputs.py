@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexloom import session
 from lexloom.functions import text as tx
-from lexloom.operators import lexicon, occurrences
+from lexloom.operators import entities, external, lexicon, linkage, morphology, occurrences, resolve, status
+from lexloom.sources import files
 
 LINES_PER_PAGE = 20
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -98,6 +99,316 @@ class Workbench:
     def group_numbers(self) -> DataFrame:
         return session.save(lexicon.group_counts(self.slice_numbers), "group_numbers")
 
+    # Vocabulary of the benchmark texts, per owner -----------------------------------
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """Distinct words per text; two owners see them in Armenian letters."""
+        words = self.table("benchmark").select("item_id", F.explode(tx.token_list(F.col("text"))).alias("latin")).where(
+            tx.is_word(F.col("latin"))
+        ).distinct()
+        owner = F.explode(F.array(*[F.lit(o) for o in OWNERS])).alias("owner_id")
+        surface = F.when(F.col("owner_id").isin(*ARMENIAN_OWNERS), to_armenian(F.col("latin"))).otherwise(F.col("latin"))
+        return words.select(owner, "item_id", "latin").withColumn("surface_form", surface).withColumn(
+            "normalized_form", F.lower("surface_form")
+        )
+
+    @cached_property
+    def reference_sources(self) -> DataFrame:
+        k = F.col("k")
+        return self.vocabulary.select("owner_id", (F.col("item_id") % 4).alias("k")).distinct().select(
+            "owner_id", F.concat(F.col("owner_id"), F.lit("-wl-"), k).alias("source_id"),
+            F.concat(F.lit("wordlist-"), k).alias("display_name"),
+            (~((F.col("owner_id") == "es") & (k == 2))).alias("is_active"),
+            F.when(k == 3, "pdf_ocr").otherwise("csv").alias("last_import_method"),
+            F.when(k == 3, "text was recognized from images").alias("last_import_warning"),
+            F.when(k == 0, "classical").when(k == 1, "eastern").when(k == 2, "western").otherwise("unknown").alias("language_stage"),
+        )
+
+    @cached_property
+    def reference_entries(self) -> DataFrame:
+        latin = F.col("latin")
+        source = F.concat(F.col("owner_id"), F.lit("-wl-"), F.col("item_id") % 4)
+        shorter = F.substring(F.col("surface_form"), F.lit(1), F.length("surface_form") - 1)
+        pairs = F.array(
+            F.struct(F.lit("definition").alias("k"), F.when(F.length(latin) % 2 == 0, F.concat(F.lit("meaning of "), latin)).alias("v")),
+            F.struct(F.lit("lemma").alias("k"), F.when(latin.endswith("s"), shorter).alias("v")),
+        )
+        rows = self.vocabulary.select("owner_id", source.alias("source_id"), "latin", "surface_form", "normalized_form").distinct()
+        return rows.select(
+            "owner_id", "source_id", F.concat_ws(":", "source_id", "surface_form").alias("entry_id"), "surface_form", "normalized_form",
+            F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("metadata"),
+        )
+
+    @cached_property
+    def lexeme_forms(self) -> DataFrame:
+        """Forms whose Latin spelling begins with a to h are curated, keyed by four letters."""
+        return self.vocabulary.where(F.lower("latin").rlike("^[a-h]")).select(
+            "owner_id", "normalized_form",
+            F.concat(F.col("owner_id"), F.lit("-lx-"), F.substring("normalized_form", 1, 4)).alias("lexeme_id"),
+        ).distinct()
+
+    @cached_property
+    def lexemes(self) -> DataFrame:
+        form = F.col("canonical_normalized_form")
+        return self.lexeme_forms.groupBy("owner_id", "lexeme_id").agg(
+            F.min("normalized_form").alias("canonical_normalized_form")
+        ).select(
+            "owner_id", "lexeme_id",
+            F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, F.lit(2), F.length(form))).alias("canonical_form"),
+            "canonical_normalized_form",
+            F.when(F.length(form) >= 6, "approved").otherwise("draft").alias("status"),
+            F.lit(None).cast("string").alias("notes"),
+            F.length(form).cast("bigint").alias("created_seq"),
+        )
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return self.vocabulary.where(F.lower("latin").endswith("n")).select(
+            "owner_id", "normalized_form", F.lit("ignored_noise").alias("review_status"), F.lit(None).cast("string").alias("reviewer_note")
+        ).distinct()
+
+    @cached_property
+    def form_mappings(self) -> DataFrame:
+        """Forms ending in s map to the form without it; a shared mapping cuts one letter more."""
+        n = F.length("latin")
+        words = self.vocabulary.where(F.col("latin").endswith("s") & (n >= 3)).select("owner_id", "latin", "normalized_form").distinct()
+
+        def rows(owner: Column, cut: int, profile: Column, confidence: Column) -> DataFrame:
+            lemma = F.substring(F.col("normalized_form"), F.lit(1), F.length("normalized_form") - cut)
+            return words.select(
+                owner.alias("owner_id"), F.col("normalized_form").alias("normalized_surface_form"),
+                F.concat(F.upper(F.substring(lemma, 1, 1)), F.substring(lemma, F.lit(2), F.length(lemma))).alias("dictionary_lemma"),
+                lemma.alias("normalized_dictionary_lemma"),
+                F.when(n == 9, "ocr_correction_candidate").otherwise("inflection").alias("mapping_type"),
+                F.lit("seed").alias("source_type"), F.when(n == 7, "fuzzy").otherwise("seed_list").alias("source_key"),
+                profile.alias("language_profile"), confidence.alias("confidence"),
+                F.when(n % 3 != 0, "approved").otherwise("pending").alias("review_status"),
+            ).distinct()
+
+        own = rows(F.col("owner_id"), 1, F.when(n % 2 == 0, "classical").otherwise("unknown"), F.lit(0.5) + (n % 5) / F.lit(10.0))
+        shared = rows(F.lit(None).cast("string"), 2, F.lit("mixed"), F.lit(0.8))
+        return own.unionByName(shared)
+
+    @cached_property
+    def match_runs(self) -> DataFrame:
+        """Three runs per source a day apart, the middle one failed."""
+        return self.reference_sources.select("owner_id", "source_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).select(
+            "owner_id", "source_id", F.concat_ws("-run-", "source_id", "k").alias("run_id"),
+            F.col("k").cast("bigint").alias("created_seq"), F.lit("source_to_internal").alias("direction"),
+            F.when(F.col("k") == 2, "failed").otherwise("completed").alias("status"),
+        )
+
+    @cached_property
+    def run_results(self) -> DataFrame:
+        """Later runs saw only the longer entries, so older results stay the latest for the rest."""
+        entries = self.reference_entries.join(self.match_runs.select("owner_id", "source_id", "run_id", "created_seq"), ["owner_id", "source_id"]).where(
+            F.length("surface_form") >= F.col("created_seq") * 2
+        )
+        results = linkage.source_to_internal(
+            entries.drop("metadata"), linkage.lexeme_evidence(self.lexemes, self.lexeme_forms), self.book_evidence
+        )
+        return session.save(results.select(
+            "owner_id", "source_id", "run_id", "entry_id", F.concat_ws("#", "run_id", "entry_id").alias("result_id"),
+            F.col("created_seq").alias("result_seq"), F.col("surface_form").alias("target_label"), "normalized_form", "match_status",
+            "match_count", "exists_in_lexicon", "found_in_books", "matching_lexeme_count", "best_lexeme_id",
+            "best_lexeme_canonical_form", "matching_book_occurrence_count", "best_document_id", "best_document_title",
+            "best_page_number", "best_context_snippet",
+        ), "run_results")
+
+    @cached_property
+    def book_evidence(self) -> DataFrame:
+        return session.save(linkage.book_evidence(self.occ, self.documents), "book_evidence")
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Word index with review state."""
+        return session.save(lexicon.with_state(self.group_numbers, self.lexeme_forms, self.lexemes, self.reviews), "groups")
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        return linkage.catalog(self.reference_entries, self.reference_sources)
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return linkage.group_targets(self.groups).unionByName(linkage.lexeme_targets(self.lexemes, self.lexeme_forms))
+
+    @cached_property
+    def direct_matches(self) -> DataFrame:
+        """Stored exact and normalized matches of an earlier target-first run."""
+        return session.save(
+            linkage.find_matches(self.targets, self.catalog, allow_fuzzy=False).withColumn("matched_form", F.col("surface_form")),
+            "direct_matches",
+        )
+
+    @cached_property
+    def latest(self) -> DataFrame:
+        return session.save(status.latest_results(self.run_results, self.match_runs), "latest_results")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return self.match_runs.select("owner_id", "source_id", F.col("run_id").alias("import_id"), "created_seq", "status")
+
+    @cached_property
+    def entry_status(self) -> DataFrame:
+        return session.save(
+            status.entry_status(self.reference_entries, self.latest, self.direct_matches, self.reference_sources), "entry_status"
+        )
+
+    @cached_property
+    def group_status(self) -> DataFrame:
+        return session.save(
+            status.group_status(self.group_numbers, self.latest, self.direct_matches, self.reference_entries, self.reference_sources),
+            "group_status",
+        )
+
+    @cached_property
+    def lexeme_status(self) -> DataFrame:
+        return session.save(status.lexeme_status(
+            self.lexemes, self.lexeme_forms, self.latest, self.direct_matches, self.reference_entries, self.reference_sources
+        ), "lexeme_status")
+
+    @cached_property
+    def scoped_forms(self) -> DataFrame:
+        """Distinct forms per owner and language stage, from the slices rather than the fact table."""
+        return self.slice_numbers.join(self.documents.select("document_id", "language_stage"), "document_id").select(
+            "owner_id", "normalized_form", F.col("language_stage").alias("language_profile")
+        ).distinct()
+
+    @cached_property
+    def resolutions(self) -> DataFrame:
+        lemmas = self.analyses.where(F.col("lemma").isNotNull()).groupBy(
+            "owner_id", F.col("token_normalized").alias("normalized_form"), F.col("language_stage").alias("language_profile")
+        ).agg(F.min("lemma").alias("morphological_lemma"))
+        return session.save(resolve.resolve_lemmas(
+            self.scoped_forms, self.form_mappings, self.lexeme_forms, self.lexemes, self.reference_entries, self.reference_sources, lemmas
+        ), "resolutions")
+
+    # Entities, corpus, tagger rows, external cache ----------------------------------
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        return self.table("conversations").select(
+            F.col("role").alias("source_id"), F.col("conv_id"), F.col("turn"),
+            F.struct("conv_id", "turn").alias("seq"), tx.token_list(to_armenian(F.col("text"))).alias("tokens"),
+        )
+
+    @cached_property
+    def sentences(self) -> DataFrame:
+        """A capitalized word begins an entity, a capitalized follower continues it."""
+        def kind(t: Column) -> Column:
+            return F.element_at(F.array(F.lit("PER"), F.lit("ORG"), F.lit("LOC"), F.lit("MISC")), F.length(t) % 4 + 1)
+
+        def label(t: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get("tokens", i - 1)).otherwise("")
+            return F.when(~t.rlike(r"^\p{Lu}"), "O").when(before.rlike(r"^\p{Lu}"), F.concat(F.lit("I-"), kind(t))).otherwise(
+                F.concat(F.lit("B-"), kind(t))
+            )
+
+        return self.turns.withColumn("labels", F.transform("tokens", label))
+
+    @cached_property
+    def ner_sources(self) -> DataFrame:
+        return self.table("conversations").select("role").distinct().select(
+            F.col("role").alias("source_id"), F.concat(F.lit("entities "), "role").alias("display_name"),
+            F.when(F.col("role") == "user", "gold").otherwise("silver").alias("source_kind"),
+            F.col("role").alias("dataset_split"), (F.col("role") != "system").alias("is_active"),
+        )
+
+    @cached_property
+    def entity_entries(self) -> DataFrame:
+        return session.save(entities.entity_dictionary(entities.mentions(self.sentences), self.ner_sources), "entity_entries")
+
+    @cached_property
+    def annotated_texts(self) -> DataFrame:
+        marked = F.transform("tokens", lambda t: F.concat(
+            F.lit("[["), t, F.lit(">>> "), F.regexp_replace(F.lower(t), f"{ARMENIAN[18]}$", ""), F.lit("@"), F.col("source_id"), F.lit("]]")
+        ))
+        return self.turns.select(F.col("conv_id").cast("string").alias("source_id"), F.array_join(marked, " ").alias("text"))
+
+    @cached_property
+    def corpus_tokens(self) -> DataFrame:
+        return files.annotated_tokens(self.annotated_texts)
+
+    @cached_property
+    def corpus_index(self) -> tuple[DataFrame, DataFrame]:
+        by_surface, by_lemma = entities.corpus_index(self.corpus_tokens)
+        return session.save(by_surface, "corpus_surface"), session.save(by_lemma, "corpus_lemma")
+
+    @staticmethod
+    def tag(token: Column) -> dict[str, Column]:
+        """Stand-in for an external tagger: plain rules on the word."""
+        empty = F.length(token) == 1
+        s, er, en = ARMENIAN[18], ARMENIAN[4] + ARMENIAN[17], ARMENIAN[4] + ARMENIAN[13]
+        return {
+            "raw_lemma": F.when(empty, "_").otherwise(F.regexp_replace(token, f"{s}$", "")),
+            "raw_pos": F.when(empty, "-").when(token.rlike(f"({er}|{en})$"), "VERB").otherwise("NOUN"),
+            "raw_features": F.when(empty, "_").when(token.endswith(s), "Number=Plur|Case=Nom,Acc").otherwise("Number=Sing|Case=Nom"),
+        }
+
+    def tagged(self, tokens: DataFrame, model_key: Column) -> DataFrame:
+        raw = self.tag(F.col("token_surface"))
+        rows = tokens.withColumns({**raw, "problem": F.lit(None).cast("string"), "reason": morphology.skip_reason()}).withColumns({
+            "lemma": morphology.optional_text(F.col("raw_lemma")), "pos": morphology.optional_text(F.col("raw_pos")),
+            "morph_features": morphology.parse_features(F.col("raw_features")),
+        })
+        return morphology.finish_rows(rows, model_key)
+
+    @cached_property
+    def analyses(self) -> DataFrame:
+        """Tagger rows of the words of eligible documents."""
+        stage = F.col("language_stage")
+        scope = self.documents.where(morphology.scope_eligible(F.lit(None).cast("string"), stage)).select("document_id", "language_stage")
+        rows = morphology.document_tokens(self.occ).join(scope, "document_id")
+        model = F.when(morphology.analysis_profile(F.lit(None).cast("string"), stage, "eastern") == "classical", "xcl").otherwise("eastern")
+        return session.save(self.tagged(rows, model), "analyses")
+
+    @cached_property
+    def entry_analyses(self) -> DataFrame:
+        return session.save(self.tagged(morphology.entry_tokens(self.reference_entries), F.lit("xcl")), "entry_analyses")
+
+    @cached_property
+    def providers(self) -> DataFrame:
+        return self.spark.createDataFrame([("nayiri_web", "Web dictionary", True)], "provider_key string, display_name string, is_active boolean")
+
+    @property
+    def now(self) -> Column:
+        return F.to_timestamp(F.lit("2024-02-01 12:00:00"))
+
+    @cached_property
+    def external_cache(self) -> DataFrame:
+        """Two lookups per form a day apart; some failed, some never expire."""
+        n = F.length("normalized_form")
+        forms = self.vocabulary.select("normalized_form").distinct()
+        rows = forms.select("normalized_form", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+        fetched = F.to_timestamp(F.lit("2024-01-31 00:00:00")) + F.make_interval(days=F.col("k") - 1, hours=n)
+        return rows.withColumn("fetched_at", fetched).select(
+            F.concat_ws("/", "normalized_form", "k").alias("cache_id"), F.lit("nayiri_web").alias("provider_key"),
+            F.when(n % 2 == 0, F.upper("normalized_form")).otherwise(F.col("normalized_form")).alias("query_text"),
+            F.col("normalized_form").alias("normalized_query"), F.lit("normalized").alias("search_mode"),
+            F.when(n % 9 == 0, "failed").otherwise("completed").alias("status"), "fetched_at", F.col("fetched_at").alias("created_at"),
+            F.when(n % 4 != 0, external.expires_at(F.col("fetched_at"))).alias("expires_at"),
+        )
+
+    @cached_property
+    def external_results(self) -> DataFrame:
+        n = F.length("normalized_query")
+        rows = self.external_cache.where((n % 5 != 0) & (F.col("status") == "completed")).select(
+            "cache_id", "normalized_query", F.explode(F.array(F.lit(1), F.lit(2))).alias("i")
+        )
+        title = F.concat(F.lit("Dictionary "), F.col("i"))
+        trusted = F.when(n % 3 == 0, F.map_from_arrays(F.array(F.lit("source_evidence_role")), F.array(F.lit("human_approved_headword"))))
+        return rows.select(
+            "cache_id", F.col("i").cast("bigint").alias("result_seq"),
+            F.when(F.col("i") == 1, F.col("normalized_query")).otherwise(F.concat(F.col("normalized_query"), F.lit("x"))).alias("matched_form"),
+            F.when(F.col("i") == 1, F.col("normalized_query")).otherwise(F.concat(F.col("normalized_query"), F.lit("x"))).alias("normalized_form"),
+            title.alias("source_title"), F.when(n % 2 == 1, F.concat(F.lit("see "), "normalized_query")).alias("snippet"),
+            F.concat(F.lit("https://dictionary.example/"), F.col("i")).alias("reference_link"),
+            F.when(F.col("i") == 1, "normalized").otherwise("fuzzy").alias("match_type"),
+            F.when(F.col("i") == 1, 100.0).otherwise(92.0).alias("match_score"),
+            F.coalesce(trusted, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("metadata"),
+        )
+
 
 _BENCHES: dict[tuple[str, str], Workbench] = {}
 

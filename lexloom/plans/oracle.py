@@ -47,6 +47,171 @@ SCRIPT_CASE = r"""CASE WHEN regexp_matches(token,'\p{Nd}') THEN 'digit_mixed'
   WHEN regexp_matches(token,'\p{Armenian}') AND regexp_matches(token,'\p{Latin}') THEN 'mixed'
   ELSE 'other' END"""
 
+def initcap(expr: str) -> str:
+    return f"upper(substr({expr},1,1))||substr({expr},2)"
+
+
+def curated_tables() -> dict[str, str]:
+    return {
+        "vocab": f"""SELECT o.owner_id, w.item_id, w.latin, CASE WHEN o.owner_id IN ('en','fr') THEN {armenian('w.latin')} ELSE w.latin END surface_form,
+            lower(CASE WHEN o.owner_id IN ('en','fr') THEN {armenian('w.latin')} ELSE w.latin END) normalized_form
+            FROM (SELECT DISTINCT item_id, latin FROM (SELECT item_id, unnest(regexp_extract_all(text, '{WORD}')) latin FROM benchmark)
+              WHERE regexp_matches(latin, '\\p{{L}}')) w, (VALUES ('en'),('fr'),('de'),('es')) o(owner_id)""",
+        "rsource": """SELECT DISTINCT owner_id, owner_id||'-wl-'||(item_id%4) source_id, 'wordlist-'||(item_id%4) display_name,
+            NOT (owner_id='es' AND item_id%4=2) is_active, CASE item_id%4 WHEN 3 THEN 'pdf_ocr' ELSE 'csv' END last_import_method,
+            CASE item_id%4 WHEN 0 THEN 'classical' WHEN 1 THEN 'eastern' WHEN 2 THEN 'western' ELSE 'unknown' END language_stage FROM vocab""",
+        "entry": """SELECT DISTINCT owner_id, owner_id||'-wl-'||(item_id%4) source_id, owner_id||'-wl-'||(item_id%4)||':'||surface_form entry_id,
+            surface_form, normalized_form, CASE WHEN length(latin)%2=0 THEN 'meaning of '||latin END definition,
+            CASE WHEN latin LIKE '%s' THEN left(surface_form, length(surface_form)-1) END lemma FROM vocab""",
+        "lexform": """SELECT DISTINCT owner_id, normalized_form, owner_id||'-lx-'||left(normalized_form,4) lexeme_id FROM vocab
+            WHERE regexp_matches(lower(latin), '^[a-h]')""",
+        "lexeme": f"""SELECT owner_id, lexeme_id, {initcap('c')} canonical_form, c canonical_normalized_form,
+            CASE WHEN length(c)>=6 THEN 'approved' ELSE 'draft' END status, length(c) created_seq
+            FROM (SELECT owner_id, lexeme_id, min(normalized_form) c FROM lexform GROUP BY 1,2)""",
+        "review": "SELECT DISTINCT owner_id, normalized_form FROM vocab WHERE lower(latin) LIKE '%n'",
+        "mapping": f"""SELECT DISTINCT owner_id, nf, {initcap('l')} dictionary_lemma, l normalized_lemma, mtype, skey, profile, confidence, status FROM (
+            SELECT owner_id, normalized_form nf, left(normalized_form, length(normalized_form)-1) l,
+              CASE length(latin) WHEN 9 THEN 'ocr_correction_candidate' ELSE 'inflection' END mtype, CASE length(latin) WHEN 7 THEN 'fuzzy' ELSE 'seed_list' END skey,
+              CASE WHEN length(latin)%2=0 THEN 'classical' ELSE 'unknown' END profile, 0.5::DOUBLE+(length(latin)%5)/10.0::DOUBLE confidence,
+              CASE WHEN length(latin)%3<>0 THEN 'approved' ELSE 'pending' END status FROM vocab WHERE latin LIKE '%s' AND length(latin)>=3
+            UNION ALL SELECT NULL, normalized_form, left(normalized_form, length(normalized_form)-2),
+              CASE length(latin) WHEN 9 THEN 'ocr_correction_candidate' ELSE 'inflection' END, CASE length(latin) WHEN 7 THEN 'fuzzy' ELSE 'seed_list' END,
+              'mixed', 0.8::DOUBLE, CASE WHEN length(latin)%3<>0 THEN 'approved' ELSE 'pending' END FROM vocab WHERE latin LIKE '%s' AND length(latin)>=3)""",
+        "gstate": """SELECT g.*, f.lexeme_id linked_lexeme_id, l.canonical_form linked_lexeme_canonical_form,
+            CASE WHEN f.lexeme_id IS NOT NULL THEN 'linked' WHEN r.owner_id IS NOT NULL THEN 'ignored_noise' ELSE 'unreviewed' END group_state
+            FROM groups g LEFT JOIN lexform f USING (owner_id, normalized_form) LEFT JOIN lexeme l ON l.lexeme_id=f.lexeme_id AND l.owner_id=g.owner_id
+            LEFT JOIN review r ON r.owner_id=g.owner_id AND r.normalized_form=g.normalized_form""",
+        "runs": """SELECT owner_id, source_id, source_id||'-run-'||k run_id, k created_seq, CASE k WHEN 2 THEN 'failed' ELSE 'completed' END status
+            FROM rsource, (VALUES (1),(2),(3)) t(k)""",
+        "lexev": """SELECT owner_id, normalized_form, count(*) matching_lexeme_count, arg_min(lexeme_id, (via, created_seq, lexeme_id)) best_lexeme_id,
+            arg_min(canonical_form, (via, created_seq, lexeme_id)) best_lexeme_canonical_form FROM (
+              SELECT owner_id, normalized_form, lexeme_id, canonical_form, created_seq, min(via) via FROM (
+                SELECT owner_id, canonical_normalized_form normalized_form, lexeme_id, canonical_form, created_seq, 0 via FROM lexeme
+                UNION ALL SELECT f.owner_id, f.normalized_form, l.lexeme_id, l.canonical_form, l.created_seq, 1 FROM lexform f JOIN lexeme l USING (owner_id, lexeme_id)
+              ) GROUP BY ALL) GROUP BY 1,2""",
+        "bookev": """SELECT owner_id, normalized_token normalized_form, count(*) occurrence_count,
+            arg_min(o.document_id, (d.title, page_number, char_start)) best_document_id, min(d.title) best_document_title,
+            arg_min(page_number, (d.title, page_number, char_start)) best_page_number,
+            arg_min(context_snippet, (d.title, page_number, char_start)) best_context_snippet
+            FROM occs o JOIN doc d USING (document_id, owner_id) GROUP BY 1,2""",
+        "result": """SELECT e.owner_id, e.source_id, r.run_id, e.entry_id, r.created_seq, r.status run_status, e.surface_form target_label, e.normalized_form,
+            coalesce(x.matching_lexeme_count,0) matching_lexeme_count, coalesce(b.occurrence_count,0) book_count,
+            coalesce(x.matching_lexeme_count,0)+coalesce(b.occurrence_count,0) match_count,
+            CASE WHEN coalesce(x.matching_lexeme_count,0)+coalesce(b.occurrence_count,0)>0 THEN 'matched' ELSE 'unmatched' END match_status,
+            coalesce(x.matching_lexeme_count,0)>0 exists_in_lexicon, coalesce(b.occurrence_count,0)>0 found_in_books,
+            x.best_lexeme_id, x.best_lexeme_canonical_form, b.best_document_id, b.best_document_title, b.best_page_number, b.best_context_snippet
+            FROM entry e JOIN runs r USING (owner_id, source_id) LEFT JOIN lexev x ON x.owner_id=e.owner_id AND x.normalized_form=e.normalized_form
+            LEFT JOIN bookev b ON b.owner_id=e.owner_id AND b.normalized_form=e.normalized_form WHERE length(e.surface_form)>=r.created_seq*2""",
+        "latest": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY created_seq DESC, run_id DESC) k FROM result WHERE run_status='completed') WHERE k=1""",
+        "cat": "SELECT e.*, s.display_name, s.last_import_method FROM entry e JOIN rsource s USING (owner_id, source_id) WHERE s.is_active",
+        "target": """SELECT owner_id, 'lexicon_group' target_type, normalized_form target_key, normalized_form target_label, normalized_form AS value
+              FROM gstate WHERE group_state='unreviewed' AND dominant_script_type='armenian'
+            UNION SELECT owner_id, 'lexeme', lexeme_id, canonical_form, canonical_normalized_form FROM lexeme
+            UNION SELECT owner_id, 'lexeme', lexeme_id, canonical_form, normalized_form FROM lexform JOIN lexeme USING (owner_id, lexeme_id)""",
+        "direct": """SELECT t.owner_id, t.target_type, t.target_key, t.target_label, c.source_id, c.display_name, c.entry_id, c.surface_form, c.normalized_form, 'exact' match_type, 0 torder
+              FROM target t JOIN cat c ON c.owner_id=t.owner_id AND c.surface_form=t.value
+            UNION SELECT t.owner_id, t.target_type, t.target_key, t.target_label, c.source_id, c.display_name, c.entry_id, c.surface_form, c.normalized_form, 'normalized', 1
+              FROM target t JOIN cat c ON c.owner_id=t.owner_id AND c.normalized_form=t.value""",
+        "sfirst": """SELECT owner_id, normalized_form, count(*) n, arg_min(display_name, (display_name, target_label, entry_id)) best_source,
+            arg_min(target_label, (display_name, target_label, entry_id)) best_form FROM latest JOIN rsource USING (owner_id, source_id)
+            WHERE match_status='matched' GROUP BY 1,2""",
+        "dsum": """SELECT owner_id, target_type, target_key, count(*) n, arg_min(display_name, (torder, display_name, surface_form, entry_id)) best_source,
+            arg_min(surface_form, (torder, display_name, surface_form, entry_id)) best_form, arg_min(match_type, (torder, display_name, surface_form, entry_id)) best_type
+            FROM direct GROUP BY 1,2,3""",
+        "esum": """SELECT owner_id, normalized_form, count(*) n, min(display_name) best_source, arg_min(surface_form, (display_name, surface_form)) best_form FROM cat GROUP BY 1,2""",
+        "lexvalue": "SELECT owner_id, lexeme_id, canonical_normalized_form normalized_form FROM lexeme UNION SELECT owner_id, lexeme_id, normalized_form FROM lexform",
+        "gstatus": """SELECT g.owner_id, g.normalized_form, coalesce(a.n, b.n, c.n) IS NOT NULL has_reference_match, coalesce(a.n, b.n, c.n, 0) reference_match_count,
+            CASE WHEN a.n IS NOT NULL THEN a.best_source WHEN b.n IS NOT NULL THEN b.best_source ELSE c.best_source END best_source,
+            CASE WHEN a.n IS NOT NULL THEN a.best_form WHEN b.n IS NOT NULL THEN b.best_form ELSE c.best_form END best_form,
+            CASE WHEN a.n IS NOT NULL THEN 'normalized' WHEN b.n IS NOT NULL THEN b.best_type WHEN c.n IS NOT NULL THEN 'normalized' END best_type,
+            CASE WHEN a.n IS NULL AND b.n IS NULL AND c.n IS NOT NULL THEN 100.0::DOUBLE END best_score
+            FROM groups g LEFT JOIN sfirst a USING (owner_id, normalized_form)
+            LEFT JOIN dsum b ON b.owner_id=g.owner_id AND b.target_type='lexicon_group' AND b.target_key=g.normalized_form
+            LEFT JOIN esum c ON c.owner_id=g.owner_id AND c.normalized_form=g.normalized_form""",
+        "mgroup": """SELECT owner_id, normalized_form FROM latest WHERE match_status='matched'
+            UNION SELECT owner_id, target_key FROM direct d WHERE target_type='lexicon_group' AND NOT EXISTS (SELECT 1 FROM latest l WHERE l.owner_id=d.owner_id AND l.normalized_form=d.target_key)
+            UNION SELECT owner_id, normalized_form FROM cat""",
+        "mentry": """SELECT owner_id, entry_id FROM latest WHERE match_status='matched'
+            UNION SELECT owner_id, entry_id FROM direct d WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.entry_id=d.entry_id)""",
+        "mlexeme": """SELECT v.owner_id, v.lexeme_id FROM lexvalue v JOIN latest l USING (owner_id, normalized_form) WHERE match_status='matched'
+            UNION SELECT owner_id, target_key FROM direct d WHERE target_type='lexeme' AND NOT EXISTS
+              (SELECT 1 FROM lexvalue v JOIN latest l USING (owner_id, normalized_form) WHERE v.owner_id=d.owner_id AND v.lexeme_id=d.target_key)""",
+        "ownerforms": "SELECT DISTINCT owner_id, normalized_token normalized_form, language_stage language_profile FROM occ JOIN doc USING (document_id, owner_id)",
+        "amap": """SELECT owner_id, normalized_form, language_profile, dictionary_lemma lemma, normalized_lemma, skey source, confidence FROM (
+            SELECT f.*, m.dictionary_lemma, m.normalized_lemma, m.skey, m.confidence, row_number() OVER (PARTITION BY f.owner_id, f.normalized_form, f.language_profile
+              ORDER BY m.owner_id IS NULL, CASE WHEN f.language_profile='unknown' THEN CASE m.profile WHEN 'unknown' THEN 0 WHEN 'mixed' THEN 1 ELSE 2 END
+                ELSE CASE m.profile WHEN f.language_profile THEN 0 WHEN 'mixed' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END END, m.confidence DESC, m.normalized_lemma) k
+            FROM ownerforms f JOIN mapping m ON m.nf=f.normalized_form AND (m.owner_id IS NULL OR m.owner_id=f.owner_id)
+            WHERE m.status='approved' AND m.mtype<>'ocr_correction_candidate' AND m.skey NOT IN ('fuzzy','fuzzy_ocr','ocr_correction_candidate')) WHERE k=1""",
+        "imap": """SELECT owner_id, normalized_form, lemma, lower(lemma) normalized_lemma FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, normalized_form
+            ORDER BY display_name, surface_form) k FROM cat WHERE lemma IS NOT NULL AND lemma<>'') WHERE k=1""",
+        "resolved": """SELECT f.owner_id, f.normalized_form, f.language_profile, coalesce(m.lemma, l.canonical_form, i.lemma) dictionary_lemma,
+            coalesce(m.normalized_lemma, l.canonical_normalized_form, i.normalized_lemma) normalized_dictionary_lemma,
+            CASE WHEN m.lemma IS NOT NULL THEN m.source WHEN l.lexeme_id IS NOT NULL THEN 'internal_curated_lexeme_forms' WHEN i.lemma IS NOT NULL THEN 'imported_reference' END dictionary_lemma_source,
+            p.lemma morphological_lemma,
+            round(CASE WHEN m.lemma IS NOT NULL THEN m.confidence WHEN l.lexeme_id IS NOT NULL THEN 1.0 WHEN i.lemma IS NOT NULL THEN 0.85 WHEN p.lemma IS NOT NULL THEN 0.35 END::DOUBLE, 3) confidence,
+            CASE WHEN m.lemma IS NOT NULL THEN 'resolved_by_approved_lexeme_mapping' WHEN l.lexeme_id IS NOT NULL THEN 'resolved_by_curated_lexeme_form'
+              WHEN i.lemma IS NOT NULL THEN 'resolved_by_imported_reference_mapping' WHEN p.lemma IS NOT NULL THEN 'morphology_fallback_only' ELSE 'unresolved' END resolution_type
+            FROM ownerforms f LEFT JOIN amap m USING (owner_id, normalized_form, language_profile) LEFT JOIN lexform x ON x.owner_id=f.owner_id AND x.normalized_form=f.normalized_form
+            LEFT JOIN lexeme l ON l.owner_id=x.owner_id AND l.lexeme_id=x.lexeme_id LEFT JOIN imap i ON i.owner_id=f.owner_id AND i.normalized_form=f.normalized_form
+            LEFT JOIN (SELECT owner_id, normalized_form, language_profile, min(lemma) lemma FROM analysis WHERE lemma IS NOT NULL GROUP BY 1,2,3) p
+              ON p.owner_id=f.owner_id AND p.normalized_form=f.normalized_form AND p.language_profile=f.language_profile""",
+    }
+
+
+def evidence_tables() -> dict[str, str]:
+    s, er, en = ARMENIAN[18], ARMENIAN[4] + ARMENIAN[17], ARMENIAN[4] + ARMENIAN[13]
+    return {
+        "turnword": f"""SELECT *, regexp_matches(token, '^\\p{{Lu}}') cap, ['PER','ORG','LOC','MISC'][length(token)%4+1] kind FROM (
+            SELECT role, conv_id, turn, unnest(regexp_extract_all({armenian('text')}, '{WORD}')) token,
+            unnest(range(1, len(regexp_extract_all({armenian('text')}, '{WORD}'))+1)) i FROM conversations)""",
+        "marked": """SELECT *, cap AND (NOT coalesce(lag(cap) OVER w, false) OR lag(kind) OVER w<>kind) starts FROM turnword WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)""",
+        "mention": """SELECT role source_id, conv_id, turn, min(i) i, string_agg(token, ' ' ORDER BY i) entity_surface, min(kind) entity_type FROM (
+            SELECT *, count(*) FILTER (starts) OVER (PARTITION BY conv_id, turn ORDER BY i) span FROM marked) WHERE cap GROUP BY role, conv_id, turn, span""",
+        "ner": """SELECT source_id, lower(entity_surface) normalized_surface, entity_type, count(*) occurrence_count,
+            arg_min(entity_surface, (conv_id, turn, i)) entity_surface, CASE source_id WHEN 'user' THEN 0.85::DOUBLE ELSE 0.55::DOUBLE END confidence,
+            CASE source_id WHEN 'user' THEN 'gold' ELSE 'silver' END source_kind FROM mention WHERE entity_type IN ('PER','ORG','LOC') GROUP BY 1,2,3""",
+        "ctoken": f"""SELECT conv_id, lower(token) surface, CASE WHEN regexp_replace(lower(token), '{s}$', '')='' THEN lower(token) ELSE regexp_replace(lower(token), '{s}$', '') END lemma
+            FROM turnword""",
+        "csurface": "SELECT surface, lemma, count(*) token_count, count(DISTINCT conv_id) source_count FROM ctoken GROUP BY 1,2",
+        "clemma": "SELECT lemma, count(*) token_count, count(DISTINCT conv_id) source_count FROM ctoken GROUP BY 1",
+        "allform": "SELECT DISTINCT normalized_token normalized_form FROM occ UNION SELECT DISTINCT normalized_form FROM vocab",
+        "clookup": """SELECT normalized_form, lemma, token_count, source_count, k lemma_rank FROM (SELECT q.normalized_form, c.lemma, c.token_count, c.source_count,
+              row_number() OVER (PARTITION BY q.normalized_form ORDER BY c.token_count DESC, c.lemma) k FROM allform q JOIN csurface c ON c.surface=q.normalized_form)
+            UNION ALL SELECT q.normalized_form, c.lemma, c.token_count, c.source_count, 1 FROM allform q JOIN clemma c ON c.lemma=q.normalized_form
+              WHERE NOT EXISTS (SELECT 1 FROM csurface x WHERE x.surface=q.normalized_form)""",
+        "analysis": f"""SELECT o.owner_id, o.document_id, o.page_id, o.char_start, o.token, o.normalized_token normalized_form, d.language_stage language_profile,
+            CASE d.language_stage WHEN 'classical' THEN 'xcl' ELSE 'eastern' END model_key,
+            CASE WHEN NOT has_armenian THEN 'token_not_armenian' WHEN has_latin OR has_digits THEN 'token_not_supported_for_pie' WHEN length(token)=1 THEN 'empty_prediction' END failure_reason,
+            CASE WHEN NOT has_armenian OR has_latin OR has_digits THEN 'skipped' WHEN length(token)=1 THEN 'failed' ELSE 'completed' END analysis_status,
+            CASE WHEN has_armenian AND NOT has_latin AND NOT has_digits AND length(token)>1 THEN regexp_replace(token, '{s}$', '') END lemma,
+            CASE WHEN has_armenian AND NOT has_latin AND NOT has_digits AND length(token)>1 THEN CASE WHEN regexp_matches(token, '({er}|{en})$') THEN 'VERB' ELSE 'NOUN' END END pos,
+            token LIKE '%{s}' plural FROM occ o JOIN doc d USING (document_id, owner_id) WHERE d.language_stage IN ('classical','eastern')""",
+        "eword": f"""SELECT owner_id, source_id, entry_id, unnest(regexp_extract_all(surface_form, '{WORD}')) token FROM entry""",
+        "eanalysis": f"""SELECT owner_id, source_id, entry_id, token, lower(token) normalized_form,
+            CASE WHEN regexp_matches(token,'\\p{{Armenian}}') AND NOT regexp_matches(token,'[\\p{{Latin}}\\p{{Nd}}]') AND length(token)>1 THEN regexp_replace(token, '{s}$', '') END lemma
+            FROM eword WHERE regexp_matches(token,'\\p{{L}}')""",
+        "worddist": """SELECT owner_id, normalized_form, kind, value, count(*) n FROM (
+            SELECT owner_id, normalized_form, 'lemma' kind, lemma AS value FROM analysis WHERE analysis_status='completed'
+            UNION ALL SELECT owner_id, normalized_form, 'pos', pos FROM analysis WHERE analysis_status='completed'
+            UNION ALL SELECT owner_id, normalized_form, 'feature:Number', CASE WHEN plural THEN 'Plur' ELSE 'Sing' END FROM analysis WHERE analysis_status='completed'
+            UNION ALL SELECT owner_id, normalized_form, 'feature:Case', 'Nom' FROM analysis WHERE analysis_status='completed'
+            UNION ALL SELECT owner_id, normalized_form, 'feature:Case', 'Acc' FROM analysis WHERE analysis_status='completed' AND plural) GROUP BY 1,2,3,4""",
+        "ecache": """SELECT normalized_form||'/'||k cache_id, CASE WHEN n%2=0 THEN upper(normalized_form) ELSE normalized_form END query_text, normalized_form,
+            CASE WHEN n%9=0 THEN 'failed' ELSE 'completed' END status, TIMESTAMP '2024-01-31' + to_days(CAST(k-1 AS INTEGER)) + to_hours(n) fetched_at, k,
+            CASE WHEN n%4<>0 THEN TIMESTAMP '2024-01-31' + to_days(CAST(k-1 AS INTEGER)) + to_hours(n) + INTERVAL 24 HOUR END expires_at, n
+            FROM (SELECT DISTINCT normalized_form, length(normalized_form) n FROM vocab), (VALUES (1),(2)) t(k)""",
+        "eresult": """SELECT cache_id, normalized_form query_form, i result_seq, CASE i WHEN 1 THEN normalized_form ELSE normalized_form||'x' END matched_form,
+            'Dictionary '||i source_title, CASE WHEN n%2=1 THEN 'see '||normalized_form END snippet, 'https://dictionary.example/'||i reference_link,
+            CASE i WHEN 1 THEN 'normalized' ELSE 'fuzzy' END match_type, CASE i WHEN 1 THEN 100.0::DOUBLE ELSE 92.0::DOUBLE END match_score, n%3=0 trusted
+            FROM ecache, (VALUES (1),(2)) t(i) WHERE n%5<>0 AND status='completed'""",
+        "ecur": """SELECT c.*, (expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-01 12:00:00') fresh, (SELECT count(*) FROM eresult r WHERE r.cache_id=c.cache_id) results
+            FROM ecache c WHERE k=2""",
+        "snap": """SELECT f.normalized_form, CASE WHEN c.cache_id IS NULL OR NOT c.fresh THEN 'unchecked' WHEN c.status='failed' THEN 'unavailable'
+            WHEN c.results>0 THEN 'found' ELSE 'not_found' END external_status, c.cache_id, c.query_text, c.results FROM allform f LEFT JOIN ecur c USING (normalized_form)""",
+    }
+
+
 TABLES: dict[str, str] = {
     "doc": """SELECT CAST(doc_id AS VARCHAR) document_id, lang owner_id, 'doc-'||doc_id title,
         'scans/'||source||'/'||doc_id||'.pdf' original_filename,
@@ -87,31 +252,26 @@ TABLES: dict[str, str] = {
         JOIN dominant d USING (owner_id, normalized_form)""",
 }
 
+TABLES.update(curated_tables())
+TABLES.update(evidence_tables())
 
-def sql(body: str) -> str:
-    """``body`` with every common table expression it needs in front."""
-    needed: list[str] = []
-
-    def visit(text: str) -> None:
-        for name in TABLES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(TABLES[name])
-                if name not in needed:
-                    needed.append(name)
 
-    visit(body)
-    # A table may be visited before one it depends on by name order; sort by dependency.
+def sql(body: str) -> str:
+    """``body`` with every common table expression it needs in front, dependencies first."""
     ordered: list[str] = []
+    open_: set[str] = set()
 
-    def place(name: str) -> None:
-        for other in needed:
-            if other != name and other not in ordered and re.search(rf"\b{other}\b", TABLES[name]):
-                place(other)
-        if name not in ordered:
-            ordered.append(name)
+    def place(text: str) -> None:
+        words = set(re.findall(r"\w+", text))
+        for name in TABLES:
+            if name in words and name not in ordered and name not in open_:
+                open_.add(name)
+                place(TABLES[name])
+                ordered.append(name)
 
-    for name in needed:
-        place(name)
+    place(body)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in ordered) + "\n" + body
+    own = re.match(r"\s*WITH\s+", body)
+    rest = ",\n" + body[own.end():] if own else "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in ordered) + rest
