@@ -13,6 +13,7 @@ DETAIL_LIMIT = 100
 SCRIPTS = ("armenian", "digit_mixed", "latin", "mixed", "other")
 SLICE_KEY = ["owner_id", "normalized_form", "document_id"]
 GROUP_KEY = ["owner_id", "normalized_form"]
+FLAGS = ("has_armenian", "has_digits")
 SCRIPT_COLUMNS = [f"n_{s}" for s in SCRIPTS]
 
 
@@ -68,11 +69,12 @@ def slice_counts(occ: DataFrame) -> DataFrame:
     """LEX-1, numbers only: per owner, form and document."""
     per_page = occ.groupBy(
         "owner_id", F.col("normalized_token").alias("normalized_form"), "document_id", "page_id"
-    ).agg(F.count("*").alias("n"), *script_sums())
+    ).agg(F.count("*").alias("n"), *script_sums(), *[F.bool_or(c).alias(c) for c in FLAGS])
     return per_page.groupBy(*SLICE_KEY).agg(
         F.sum("n").alias("occurrence_count"),
         F.count("*").alias("page_count"),
         *[F.sum(c).alias(c) for c in SCRIPT_COLUMNS],
+        *[F.bool_or(c).alias(c) for c in FLAGS],
     )
 
 

@@ -128,7 +128,7 @@ def document_form_list(w):
 
 @query("LEX-1 LEX-8 LEX-9", "SELECT * FROM slice")
 def document_slices(w):
-    return w.slice_numbers
+    return w.slice_numbers.drop(*lx.FLAGS)
 
 
 @query("LEX-1", """SELECT owner_id, normalized_form, document_id,

@@ -177,7 +177,7 @@ def incremental_index(w):
     touched = delta.select("document_id").distinct()
     old = lx.slice_counts(base)
     fresh = lx.slice_counts(merged.join(touched, "document_id", "left_semi"))
-    return old.join(touched, "document_id", "left_anti").select(fresh.columns).unionByName(fresh)
+    return old.join(touched, "document_id", "left_anti").select(fresh.columns).unionByName(fresh).drop(*lx.FLAGS)
 
 
 @query("LEX-7 LEX-8", """SELECT owner_id, normalized_token normalized_form, count(*) occurrence_count, count(DISTINCT document_id) document_count, count(DISTINCT page_id) page_count
