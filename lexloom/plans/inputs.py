@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexloom import session
 from lexloom.functions import text as tx
-from lexloom.operators import entities, external, lexicon, linkage, morphology, occurrences, resolve, status
+from lexloom.operators import discovery, entities, evidence, external, lexicon, linkage, morphology, occurrences, resolve, status
 from lexloom.sources import files
 
 LINES_PER_PAGE = 20
@@ -384,7 +384,8 @@ class Workbench:
         fetched = F.to_timestamp(F.lit("2024-01-31 00:00:00")) + F.make_interval(days=F.col("k") - 1, hours=n)
         return rows.withColumn("fetched_at", fetched).select(
             F.concat_ws("/", "normalized_form", "k").alias("cache_id"), F.lit("nayiri_web").alias("provider_key"),
-            F.when(n % 2 == 0, F.upper("normalized_form")).otherwise(F.col("normalized_form")).alias("query_text"),
+            F.when(n % 2 == 0, F.concat(F.upper(F.substring("normalized_form", 1, 1)), F.substring(F.col("normalized_form"), F.lit(2), n)))
+            .otherwise(F.col("normalized_form")).alias("query_text"),
             F.col("normalized_form").alias("normalized_query"), F.lit("normalized").alias("search_mode"),
             F.when(n % 9 == 0, "failed").otherwise("completed").alias("status"), "fetched_at", F.col("fetched_at").alias("created_at"),
             F.when(n % 4 != 0, external.expires_at(F.col("fetched_at"))).alias("expires_at"),
@@ -409,6 +410,52 @@ class Workbench:
             F.coalesce(trusted, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("metadata"),
         )
 
+    # Discovery ------------------------------------------------------------------------
+
+    @cached_property
+    def lookup_forms(self) -> DataFrame:
+        """Every form that is looked up anywhere: words, wordlists and resolved lemmas."""
+        parts = (self.group_numbers, self.vocabulary, resolve.structured_lemmas(self.resolutions))
+        return session.save(
+            parts[0].select("normalized_form").unionByName(parts[1].select("normalized_form")).unionByName(parts[2].select("normalized_form")).distinct(),
+            "lookup_forms",
+        )
+
+    @cached_property
+    def corpus_matches(self) -> DataFrame:
+        return session.save(entities.corpus_lookup(self.lookup_forms, *self.corpus_index), "corpus_matches")
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        return session.save(external.snapshots(self.lookup_forms, self.external_cache, self.external_results, self.now), "snapshots")
+
+    @cached_property
+    def buckets(self) -> DataFrame:
+        return self.slice_numbers.withColumn("dominant_script_type", lexicon.dominant_script())
+
+    @cached_property
+    def lexeme_map(self) -> DataFrame:
+        return self.lexeme_forms.join(self.lexemes.select("owner_id", "lexeme_id", "canonical_form"), ["owner_id", "lexeme_id"])
+
+    @cached_property
+    def latest_external(self) -> DataFrame:
+        return evidence.latest_external(self.external_cache, self.external_results, self.providers)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Candidates of a full build; in documents with a good label every second form is reviewed."""
+        built = discovery.build_candidates(
+            self.buckets, self.documents, self.resolutions, self.lexeme_map,
+            evidence.top_references(self.reference_entries, self.reference_sources), self.analyses, self.corpus_matches,
+            (self.entity_entries, self.ner_sources), self.latest_external,
+        )
+        good = self.table("labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+        old = self.buckets.join(good, "document_id").where(F.length("normalized_form") % 2 == 0).select(
+            "owner_id", "document_id", "normalized_form", F.lit("reviewed").alias("review_status"),
+            F.lit("mark_known").alias("reviewer_decision"), F.lit(None).cast("string").alias("reviewer_note"),
+        )
+        return session.save(discovery.keep_reviews(built, old), "candidates")
+
 
 _BENCHES: dict[tuple[str, str], Workbench] = {}
 

@@ -175,7 +175,8 @@ def evidence_tables() -> dict[str, str]:
             FROM turnword""",
         "csurface": "SELECT surface, lemma, count(*) token_count, count(DISTINCT conv_id) source_count FROM ctoken GROUP BY 1,2",
         "clemma": "SELECT lemma, count(*) token_count, count(DISTINCT conv_id) source_count FROM ctoken GROUP BY 1",
-        "allform": "SELECT DISTINCT normalized_token normalized_form FROM occ UNION SELECT DISTINCT normalized_form FROM vocab",
+        "allform": """SELECT DISTINCT normalized_token normalized_form FROM occ UNION SELECT DISTINCT normalized_form FROM vocab
+            UNION SELECT DISTINCT normalized_dictionary_lemma FROM resolved WHERE coalesce(normalized_dictionary_lemma,'')<>''""",
         "clookup": """SELECT normalized_form, lemma, token_count, source_count, k lemma_rank FROM (SELECT q.normalized_form, c.lemma, c.token_count, c.source_count,
               row_number() OVER (PARTITION BY q.normalized_form ORDER BY c.token_count DESC, c.lemma) k FROM allform q JOIN csurface c ON c.surface=q.normalized_form)
             UNION ALL SELECT q.normalized_form, c.lemma, c.token_count, c.source_count, 1 FROM allform q JOIN clemma c ON c.lemma=q.normalized_form
@@ -197,7 +198,7 @@ def evidence_tables() -> dict[str, str]:
             UNION ALL SELECT owner_id, normalized_form, 'feature:Number', CASE WHEN plural THEN 'Plur' ELSE 'Sing' END FROM analysis WHERE analysis_status='completed'
             UNION ALL SELECT owner_id, normalized_form, 'feature:Case', 'Nom' FROM analysis WHERE analysis_status='completed'
             UNION ALL SELECT owner_id, normalized_form, 'feature:Case', 'Acc' FROM analysis WHERE analysis_status='completed' AND plural) GROUP BY 1,2,3,4""",
-        "ecache": """SELECT normalized_form||'/'||k cache_id, CASE WHEN n%2=0 THEN upper(normalized_form) ELSE normalized_form END query_text, normalized_form,
+        "ecache": """SELECT normalized_form||'/'||k cache_id, CASE WHEN n%2=0 THEN upper(left(normalized_form,1))||substr(normalized_form,2) ELSE normalized_form END query_text, normalized_form,
             CASE WHEN n%9=0 THEN 'failed' ELSE 'completed' END status, TIMESTAMP '2024-01-31' + to_days(CAST(k-1 AS INTEGER)) + to_hours(n) fetched_at, k,
             CASE WHEN n%4<>0 THEN TIMESTAMP '2024-01-31' + to_days(CAST(k-1 AS INTEGER)) + to_hours(n) + INTERVAL 24 HOUR END expires_at, n
             FROM (SELECT DISTINCT normalized_form, length(normalized_form) n FROM vocab), (VALUES (1),(2)) t(k)""",
@@ -212,6 +213,137 @@ def evidence_tables() -> dict[str, str]:
     }
 
 
+def discovery_tables() -> dict[str, str]:
+    noise = r"(has_digits OR (length(nf)>1 AND regexp_matches(nf,'[\p{P}\p{S}]') AND length(regexp_replace(nf,'\P{L}','','g'))<=1))"
+    single = r"regexp_full_match(nf,'\p{Armenian}')"
+    west = "CASE WHEN profile IN ('unknown','mixed','western') THEN 1.0 WHEN profile='eastern' THEN 0.7 ELSE 0.55 END"
+    east = "CASE WHEN profile IN ('unknown','mixed','eastern') THEN 1.0 WHEN profile='western' THEN 0.7 ELSE 0.55 END"
+    rank = "(p1, p2, c, pk, ord, lem)"
+
+    def best(name: str, flag: str) -> str:
+        return f"min({{'p1':p1,'p2':p2,'c':c,'pk':pk,'ord':ord,'lem':lem,'mt':mt,'mf':mf,'conf':conf,'es':es}}) FILTER (usable AND {flag}) {name}"
+
+    head = "mt='exact_headword_match' AND vs='validates_word' AND es='strong' AND dq='good'"
+    dictionary = "pt IN ('imported_dictionary','web_dictionary')"
+    lemma = f"vs='supports_word' AND es IN ('strong','medium') AND dq='good' AND (pt='curated_lexicon' OR {dictionary})"
+    rules = {
+        "r_known": f"{head} AND pt='curated_lexicon'", "r_dictionary": f"{head} AND {dictionary}", "r_lemma": f"mt='exact_lemma_match' AND {lemma}",
+        "r_corpus": "mt IN ('corpus_token_attestation','corpus_lemma_attestation') AND vs='supports_word' AND es IN ('strong','medium','weak') AND pt='corpus'",
+        "r_poor": "es IN ('strong','medium') AND dq IN ('poor','missing')",
+        "r_morph": "mt='morphology_analysis_only' AND vs='suggests_candidate' AND pt='morphology'",
+        "r_reject": "mt='rejected_artifact' AND vs='rejects'", "r_entity": "mt='named_entity_signal' AND pt='ner'",
+        "r_weak": "es='weak' AND vs IN ('supports_word','suggests_candidate')",
+    }
+    tier = """CASE WHEN coalesce(nullif(hw,''), nullif(mf,''), nullif(lem,'')) IS NULL THEN NULL WHEN pt='curated_lexicon' AND vs='validates_word' THEN 1
+        WHEN pt='web_dictionary' AND vs='validates_word' THEN 3 WHEN mt='exact_lemma_match' THEN 4
+        WHEN mt IN ('corpus_token_attestation','corpus_lemma_attestation') THEN 5 END"""
+    hidden = """'resolved_known','resolved_by_dictionary','attested_in_corpus','resolved_by_lemma','resolved_as_variant','poorly_defined',
+        'weakly_attested','needs_linguist_research','probable_ocr_noise'"""
+    return {
+        "bucket": """SELECT b.*, d.script_type dominant_script_type FROM (SELECT owner_id, document_id, normalized_token nf, count(*) n, count(DISTINCT page_id) pages,
+            bool_or(has_armenian) has_armenian, bool_or(has_digits) has_digits, count(*) FILTER (script_type IN ('latin','mixed','other')) n_foreign FROM occ GROUP BY 1,2,3) b
+            JOIN (SELECT *, row_number() OVER (PARTITION BY document_id, nf ORDER BY k DESC, script_type) r FROM
+              (SELECT document_id, normalized_token nf, script_type, count(*) k FROM occ GROUP BY 1,2,3)) d ON d.document_id=b.document_id AND d.nf=b.nf AND d.r=1""",
+        "scoped": """SELECT DISTINCT b.owner_id, b.nf, d.language_stage profile, b.has_digits,
+            CASE WHEN r.resolution_type LIKE 'resolved_%' THEN r.dictionary_lemma END dl, CASE WHEN r.resolution_type LIKE 'resolved_%' THEN r.normalized_dictionary_lemma END ndl,
+            CASE WHEN r.resolution_type LIKE 'resolved_%' THEN r.confidence END rconf
+            FROM bucket b JOIN doc d USING (document_id, owner_id) LEFT JOIN resolved r ON r.owner_id=b.owner_id AND r.normalized_form=b.nf AND r.language_profile=d.language_stage""",
+        "topref": """SELECT * FROM (SELECT c.owner_id, c.normalized_form, c.surface_form, c.definition, s.language_stage, c.display_name,
+            row_number() OVER (PARTITION BY c.owner_id, c.normalized_form ORDER BY c.surface_form, c.entry_id) k FROM cat c JOIN rsource s USING (owner_id, source_id)) WHERE k<=3""",
+        "topner": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY normalized_surface ORDER BY source_kind, occurrence_count DESC, entity_surface, source_id, entity_type) k
+            FROM ner WHERE source_id<>'system') WHERE k<=3""",
+        "topext": """SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.matched_form ORDER BY r.result_seq, r.cache_id) k FROM eresult r
+            JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY normalized_form ORDER BY fetched_at DESC) z FROM ecache WHERE status='completed') WHERE z=1) c USING (cache_id)) WHERE k<=3""",
+        "rawevid": f"""SELECT scoped.owner_id, nf, profile, has_digits, NULL::VARCHAR document_id, 'internal_lexicon' pk, 'curated_lexicon' pt, 'mixed' ep, canonical_form mf, canonical_form hw, '' lem,
+              CASE WHEN nf=lower(canonical_form) THEN 'exact_headword_match' WHEN contains(lower(canonical_form),nf) OR contains(nf,lower(canonical_form)) THEN 'substring_match' ELSE 'ambiguous_search_result' END mt,
+              CASE WHEN nf=lower(canonical_form) THEN 'strong' ELSE 'none' END es, 'good' dq, CASE WHEN nf=lower(canonical_form) THEN 1.0::DOUBLE ELSE 0.05 END conf, nf=lower(canonical_form) ex, 100 ord
+              FROM scoped JOIN (SELECT f.owner_id, f.normalized_form, l.canonical_form FROM lexform f JOIN lexeme l USING (owner_id, lexeme_id)) l ON l.owner_id=scoped.owner_id AND l.normalized_form=nf
+            UNION ALL SELECT s.owner_id, nf, profile, has_digits, NULL, 'imported_references', 'imported_dictionary', t.language_stage, t.surface_form, t.surface_form, '',
+              CASE WHEN t.definition IS NULL AND ({noise} OR {single}) THEN 'rejected_artifact' ELSE 'exact_headword_match' END,
+              CASE WHEN t.definition IS NULL AND ({noise} OR {single}) THEN 'none' ELSE 'strong' END,
+              CASE WHEN t.definition IS NULL AND ({noise} OR {single}) THEN 'unknown' WHEN t.definition IS NULL THEN 'missing' ELSE 'good' END,
+              CASE WHEN t.definition IS NULL AND ({noise} OR {single}) THEN 0.0 ELSE 0.95 END, NOT (t.definition IS NULL AND ({noise} OR {single})), 200+k
+              FROM scoped s JOIN topref t ON t.owner_id=s.owner_id AND t.normalized_form=nf
+            UNION ALL SELECT s.owner_id, nf, profile, has_digits, NULL, 'internal_lexicon', 'curated_lexicon', 'mixed', l.canonical_form, l.canonical_form, dl, 'exact_lemma_match', 'medium', 'good',
+              least(CASE WHEN ndl=lower(l.canonical_form) THEN 1.0 ELSE 0.05 END, coalesce(rconf,0.8)), true, 300
+              FROM scoped s JOIN (SELECT f.owner_id, f.normalized_form, l.canonical_form FROM lexform f JOIN lexeme l USING (owner_id, lexeme_id)) l ON l.owner_id=s.owner_id AND l.normalized_form=ndl WHERE ndl<>nf
+            UNION ALL SELECT s.owner_id, nf, profile, has_digits, NULL, 'imported_references', 'imported_dictionary', t.language_stage, t.surface_form, t.surface_form, dl, 'exact_lemma_match', 'medium',
+              CASE WHEN t.definition IS NULL THEN 'missing' ELSE 'good' END, least(coalesce(rconf,0.8), CASE WHEN t.definition IS NULL THEN 0.55 ELSE 0.8 END), true, 400+k
+              FROM scoped s JOIN topref t ON t.owner_id=s.owner_id AND t.normalized_form=ndl WHERE ndl<>nf AND k<=2
+            UNION ALL SELECT owner_id, nf, profile, has_digits, NULL, 'nayiri_western_corpus', 'corpus', 'western', lemma, lemma, lemma, mt,
+              CASE WHEN mt='corpus_token_attestation' THEN CASE WHEN strong THEN CASE WHEN {west}<0.75 THEN 'medium' ELSE 'strong' END ELSE 'weak' END ELSE 'none' END, 'unknown',
+              CASE WHEN {west}<0.75 THEN round((CASE mt WHEN 'corpus_token_attestation' THEN CASE WHEN strong THEN 0.65 ELSE 0.45 END WHEN 'rejected_artifact' THEN 0 ELSE 0.05 END)::DOUBLE*({west})::DOUBLE,3)
+                ELSE (CASE mt WHEN 'corpus_token_attestation' THEN CASE WHEN strong THEN 0.65 ELSE 0.45 END WHEN 'rejected_artifact' THEN 0 ELSE 0.05 END)::DOUBLE END, mt='corpus_token_attestation', 500+k
+              FROM (SELECT s.owner_id, nf, profile, has_digits, c.lemma, c.lemma_rank k, c.token_count>=3 OR c.source_count>1 strong,
+                CASE WHEN (length(nf)>1 AND regexp_matches(nf,'[\\p{{P}}\\p{{S}}]') AND length(regexp_replace(nf,'\\P{{L}}','','g'))<=1) OR {single} THEN 'rejected_artifact' WHEN nf=c.lemma THEN 'corpus_token_attestation'
+                  WHEN contains(c.lemma, nf) THEN 'substring_match' ELSE 'ambiguous_search_result' END mt FROM scoped s JOIN clookup c ON c.normalized_form=nf WHERE c.lemma_rank<=3)
+            UNION ALL SELECT owner_id, nf, profile, has_digits, NULL, 'nayiri_western_corpus', 'corpus', 'western', lemma, lemma, dl, 'corpus_lemma_attestation',
+              CASE WHEN bad THEN 'none' WHEN ndl=lemma THEN CASE WHEN strong THEN 'strong' ELSE 'weak' END ELSE 'none' END, 'unknown',
+              round((CASE WHEN bad THEN 0 WHEN ndl=lemma THEN CASE WHEN strong THEN 0.65 ELSE 0.45 END ELSE 0.05 END)::DOUBLE*({west})::DOUBLE,3), false, 600+k
+              FROM (SELECT s.*, c.lemma, c.lemma_rank k, c.token_count>=3 OR c.source_count>1 strong,
+                (length(ndl)>1 AND regexp_matches(ndl,'[\\p{{P}}\\p{{S}}]') AND length(regexp_replace(ndl,'\\P{{L}}','','g'))<=1) OR regexp_full_match(ndl,'\\p{{Armenian}}') bad
+                FROM scoped s JOIN clookup c ON c.normalized_form=ndl WHERE ndl<>nf AND c.lemma_rank<=2)
+            UNION ALL SELECT b.owner_id, nf, a.language_profile profile, b.has_digits, a.document_id, CASE a.language_profile WHEN 'classical' THEN 'pie_classical_morphology' ELSE 'pie_eastern_morphology' END, 'morphology', a.language_profile, NULL, NULL, a.l,
+              CASE WHEN {noise} OR {single} THEN 'rejected_artifact' ELSE 'morphology_analysis_only' END, CASE WHEN {noise} OR {single} THEN 'none' ELSE 'weak' END, 'unknown',
+              CASE WHEN {noise} OR {single} THEN 0.0 ELSE 0.35 END, false, 700
+              FROM bucket b JOIN (SELECT DISTINCT document_id, normalized_form, language_profile, lower(lemma) l FROM analysis WHERE lemma<>'') a ON a.document_id=b.document_id AND a.normalized_form=nf
+            UNION ALL SELECT s.owner_id, nf, profile, has_digits, NULL, 'pioner_ner', 'ner', 'eastern', entity_surface, NULL, '', 'named_entity_signal', CASE source_kind WHEN 'gold' THEN 'medium' ELSE 'weak' END, 'unknown',
+              round(greatest(least(t.confidence-(CASE WHEN profile='classical' THEN 0.2 ELSE 0 END), 0.95), 0.1)::DOUBLE*({east})::DOUBLE,3), true, 800+k FROM scoped s JOIN topner t ON t.normalized_surface=nf
+            UNION ALL SELECT owner_id, nf, profile, has_digits, NULL, 'nayiri_web', CASE WHEN trusted AND mt NOT IN ('fuzzy_ocr_candidate','ambiguous_search_result') THEN 'web_dictionary' ELSE 'ambiguous_external' END, 'mixed', matched_form,
+              CASE WHEN mt='exact_headword_match' THEN matched_form END, '', mt, CASE mt WHEN 'fuzzy_ocr_candidate' THEN 'weak' WHEN 'exact_headword_match' THEN 'strong' ELSE 'none' END,
+              CASE WHEN mt='rejected_artifact' THEN 'unknown' WHEN snippet IS NOT NULL THEN 'good' ELSE 'unknown' END,
+              CASE mt WHEN 'rejected_artifact' THEN 0 WHEN 'fuzzy_ocr_candidate' THEN match_score/100 WHEN 'exact_headword_match' THEN 0.9 ELSE 0.05 END::DOUBLE, mt='exact_headword_match', 900+k
+              FROM (SELECT s.*, t.*, CASE WHEN {noise} OR {single} THEN 'rejected_artifact' WHEN match_type='fuzzy' THEN 'fuzzy_ocr_candidate' WHEN trusted AND nf=matched_form THEN 'exact_headword_match' ELSE 'ambiguous_search_result' END mt
+                FROM scoped s JOIN topext t ON t.matched_form=nf)""",
+        "evid": f"""SELECT *, CASE mt WHEN 'exact_headword_match' THEN 'validates_word' WHEN 'exact_lemma_match' THEN 'supports_word' WHEN 'corpus_token_attestation' THEN 'supports_word'
+              WHEN 'corpus_lemma_attestation' THEN 'supports_word' WHEN 'morphology_analysis_only' THEN 'suggests_candidate' WHEN 'named_entity_signal' THEN 'suggests_candidate'
+              WHEN 'fuzzy_ocr_candidate' THEN 'suggests_candidate' WHEN 'rejected_artifact' THEN 'rejects' ELSE 'does_not_validate' END vs FROM (
+              SELECT * FROM rawevid UNION ALL SELECT owner_id, nf, profile, has_digits, NULL, 'strict_validation', 'validation', 'mixed', NULL, NULL, '', 'rejected_artifact', 'none', 'unknown', 0.0, false, 990
+              FROM scoped s WHERE ({noise} OR {single}) AND NOT EXISTS (SELECT 1 FROM rawevid r WHERE r.mt='exact_headword_match' AND r.owner_id=s.owner_id AND r.nf=s.nf AND r.profile=s.profile AND r.has_digits=s.has_digits))""",
+        "rankevid": f"""SELECT *, p2 + CASE WHEN ep IN ('mixed','unknown') OR profile IN ('mixed','unknown') OR ep=profile THEN 0 ELSE 25 END p1, -conf c, {tier} tier,
+              coalesce(nullif(hw,''), nullif(mf,''), nullif(lem,'')) cform,
+              mt NOT IN ('substring_match','ambiguous_search_result') AND (pt NOT IN ('curated_lexicon','imported_dictionary') OR ex) AND (pk<>'nayiri_web' OR coalesce(hw,'')<>'') usable
+              FROM (SELECT *, CASE pk WHEN 'internal_lexicon' THEN 1 WHEN 'imported_references' THEN 2 WHEN 'pie_classical_morphology' THEN 10 WHEN 'pie_eastern_morphology' THEN 11
+                WHEN 'nayiri_western_corpus' THEN 21 WHEN 'pioner_ner' THEN 30 WHEN 'nayiri_web' THEN 50 ELSE 0 END p2 FROM evid)""",
+        "bevid": """SELECT b.owner_id, b.document_id bdoc, b.n, b.pages, r.* EXCLUDE (owner_id) FROM bucket b JOIN doc d USING (document_id, owner_id)
+              JOIN rankevid r ON r.owner_id=b.owner_id AND r.nf=b.nf AND r.profile=d.language_stage AND r.has_digits=b.has_digits AND (r.document_id IS NULL OR r.document_id=b.document_id)""",
+        "fused": f"""SELECT bdoc, nf, {", ".join(best(n, f) for n, f in rules.items())},
+              count(*) FILTER (es IN ('strong','medium') AND vs IN ('validates_word','supports_word') AND pt<>'ner') meaningful,
+              count(DISTINCT CASE WHEN es IN ('strong','medium') AND vs IN ('validates_word','supports_word') AND pt<>'ner' THEN nullif(trim(coalesce(nullif(lem,''), mf)),'') END) meant,
+              max(CASE dq WHEN 'good' THEN 1.0 WHEN 'poor' THEN 0.35 WHEN 'missing' THEN 0.0 ELSE 0.2 END::DOUBLE) dscore, count(*) evidence_count,
+              min({{'tier':tier,'c':c,'pk':pk,'ord':ord,'f':cform}}) FILTER (tier IS NOT NULL) canon,
+              {", ".join(f"count(DISTINCT cform) FILTER (tier={t}) t{t}" for t in (1, 3, 4, 5))} FROM bevid GROUP BY 1,2""",
+        "cand0": """SELECT b.*, d.language_stage profile, x.lexeme_id linked, coalesce(m.ok, false) plausible, s.dl, f.* EXCLUDE (bdoc, nf),
+              least(greatest(round((CASE WHEN dominant_script_type='digit_mixed' OR b.has_digits THEN 0.8 WHEN dominant_script_type IN ('mixed','latin') THEN 0.55 WHEN dominant_script_type='other' THEN 0.7 ELSE 0 END
+                + CASE WHEN NOT has_armenian THEN 0.2 ELSE 0 END - CASE WHEN n>1 THEN 0.15 ELSE 0 END - CASE WHEN pages>1 THEN 0.1 ELSE 0 END)::DOUBLE, 2), 0.0), 1.0) risk
+              FROM bucket b JOIN doc d USING (document_id, owner_id) LEFT JOIN lexform x ON x.owner_id=b.owner_id AND x.normalized_form=b.nf
+              LEFT JOIN (SELECT document_id, normalized_form, true ok FROM analysis WHERE analysis_status='completed' GROUP BY 1,2) m ON m.document_id=b.document_id AND m.normalized_form=b.nf
+              LEFT JOIN scoped s ON s.owner_id=b.owner_id AND s.nf=b.nf AND s.profile=d.language_stage AND s.has_digits=b.has_digits
+              LEFT JOIN fused f ON f.bdoc=b.document_id AND f.nf=b.nf""",
+        "cand1": """SELECT *, CASE WHEN linked IS NOT NULL OR r_known IS NOT NULL THEN 0 WHEN r_dictionary IS NOT NULL THEN 1 WHEN r_lemma IS NOT NULL THEN 2
+              WHEN meaningful>=2 AND meant>1 THEN 4 WHEN r_corpus IS NOT NULL AND risk<0.45 THEN 5 WHEN r_poor IS NOT NULL THEN 6
+              WHEN r_morph IS NOT NULL AND has_armenian AND risk<0.45 THEN 7 WHEN r_reject IS NOT NULL THEN 8 WHEN r_entity IS NOT NULL AND has_armenian THEN 9
+              WHEN r_weak IS NOT NULL THEN 10 WHEN dominant_script_type='latin' AND NOT has_armenian THEN 11 WHEN risk>=0.75 AND n<=1 THEN 12 WHEN risk>=0.45 THEN 13
+              WHEN has_armenian AND (n>1 OR plausible) THEN 14 ELSE 15 END rule FROM cand0""",
+        "cand": f"""SELECT *, CASE WHEN resolution_status IN ({hidden}) THEN base ELSE least(100, greatest(0, base + least(15,n) + least(10,pages*2) + CASE WHEN plausible THEN 10 ELSE 0 END - CASE WHEN risk>=0.45 THEN 30 ELSE 0 END)) END::DOUBLE interest_score,
+              resolution_status IN ({hidden}) OR candidate_type LIKE '%_suppressed' suppressed,
+              CASE WHEN rule IN (8,11) THEN greatest(risk,0.75) ELSE risk END ocr_risk_score,
+              CASE rule WHEN 0 THEN r_known WHEN 1 THEN r_dictionary WHEN 2 THEN r_lemma WHEN 5 THEN r_corpus WHEN 6 THEN r_poor WHEN 7 THEN r_morph WHEN 8 THEN r_reject WHEN 9 THEN r_entity WHEN 10 THEN r_weak END best,
+              CASE WHEN canon IS NULL THEN NULL WHEN CASE canon.tier WHEN 1 THEN t1 WHEN 3 THEN t3 WHEN 4 THEN t4 ELSE t5 END>1 THEN NULL ELSE canon.f END canonical_form,
+              resolution_status NOT IN ({hidden}) AND candidate_type NOT IN ('known_suppressed','attested_suppressed','noise_suppressed') AND has_armenian AND n_foreign=0
+                AND (resolution_status<>'unknown_plausible' OR (n<4 AND pages<6)) visible
+              FROM (SELECT *, CASE rule WHEN 0 THEN 'resolved_known' WHEN 1 THEN 'resolved_by_dictionary' WHEN 2 THEN 'resolved_by_lemma' WHEN 4 THEN 'conflicting_sources'
+                WHEN 5 THEN 'attested_in_corpus' WHEN 6 THEN 'poorly_defined' WHEN 7 THEN 'unknown_plausible' WHEN 8 THEN 'probable_ocr_noise' WHEN 9 THEN 'possible_named_entity'
+                WHEN 10 THEN 'weakly_attested' WHEN 11 THEN 'probable_ocr_noise' WHEN 12 THEN 'probable_ocr_noise' WHEN 13 THEN 'possible_ocr_noise' WHEN 14 THEN 'unknown_plausible' ELSE 'needs_linguist_research' END resolution_status,
+              CASE rule WHEN 0 THEN 'known_suppressed' WHEN 1 THEN 'known_suppressed' WHEN 2 THEN 'known_suppressed' WHEN 4 THEN 'conflicting_sources' WHEN 5 THEN 'attested_suppressed' WHEN 6 THEN 'poorly_defined'
+                WHEN 7 THEN 'unknown_plausible' WHEN 8 THEN 'noise_suppressed' WHEN 9 THEN 'named_entity_candidate' WHEN 10 THEN 'weakly_attested' WHEN 11 THEN 'noise_suppressed' WHEN 12 THEN 'noise_suppressed'
+                WHEN 13 THEN 'possible_ocr_corruption' WHEN 14 THEN 'unknown_plausible' ELSE 'needs_linguist_research' END candidate_type,
+              CASE rule WHEN 2 THEN 10 WHEN 4 THEN 70 WHEN 7 THEN 75 WHEN 9 THEN 72 WHEN 13 THEN 55 WHEN 14 THEN 80 ELSE 0 END base FROM cand1)""",
+        "reviewed": """SELECT c.*, CASE WHEN l.quality=1 AND length(c.nf)%2=0 THEN 'reviewed' ELSE 'unreviewed' END review_status FROM cand c
+              LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR)=c.document_id""",
+    }
+
+
 TABLES: dict[str, str] = {
     "doc": """SELECT CAST(doc_id AS VARCHAR) document_id, lang owner_id, 'doc-'||doc_id title,
         'scans/'||source||'/'||doc_id||'.pdf' original_filename,
@@ -254,6 +386,7 @@ TABLES: dict[str, str] = {
 
 TABLES.update(curated_tables())
 TABLES.update(evidence_tables())
+TABLES.update(discovery_tables())
 
 
 def sql(body: str) -> str:
