@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries():
-    from lexloom.plans import evidence_queries, index_queries, lexicon_queries, linkage_queries  # noqa: F401
+    from lexloom.plans import evidence_queries, index_queries, lexicon_queries, linkage_queries, word_queries  # noqa: F401
     from lexloom.plans.registry import QUERIES
 
     return QUERIES

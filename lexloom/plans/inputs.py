@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexloom import session
 from lexloom.functions import text as tx
-from lexloom.operators import discovery, entities, evidence, external, lexicon, linkage, morphology, occurrences, resolve, status
+from lexloom.operators import (
+    discovery, entities, evidence, external, jobs, lexicon, linkage, morphology, occurrences, resolve, review, status, words,
+)
 from lexloom.sources import files
 
 LINES_PER_PAGE = 20
@@ -384,8 +386,7 @@ class Workbench:
         fetched = F.to_timestamp(F.lit("2024-01-31 00:00:00")) + F.make_interval(days=F.col("k") - 1, hours=n)
         return rows.withColumn("fetched_at", fetched).select(
             F.concat_ws("/", "normalized_form", "k").alias("cache_id"), F.lit("nayiri_web").alias("provider_key"),
-            F.when(n % 2 == 0, F.concat(F.upper(F.substring("normalized_form", 1, 1)), F.substring(F.col("normalized_form"), F.lit(2), n)))
-            .otherwise(F.col("normalized_form")).alias("query_text"),
+            F.when(n % 2 == 0, F.translate("normalized_form", "aeաե", "AEԱԵ")).otherwise(F.col("normalized_form")).alias("query_text"),
             F.col("normalized_form").alias("normalized_query"), F.lit("normalized").alias("search_mode"),
             F.when(n % 9 == 0, "failed").otherwise("completed").alias("status"), "fetched_at", F.col("fetched_at").alias("created_at"),
             F.when(n % 4 != 0, external.expires_at(F.col("fetched_at"))).alias("expires_at"),
@@ -456,6 +457,79 @@ class Workbench:
         )
         return session.save(discovery.keep_reviews(built, old), "candidates")
 
+    # Word requests, jobs --------------------------------------------------------------
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """Words a user asks about: the whole vocabulary."""
+        return self.vocabulary.select("owner_id", F.col("normalized_form").alias("query_form")).distinct()
+
+    @cached_property
+    def book_items(self) -> DataFrame:
+        return session.save(words.merge_items(
+            words.book_items(self.requests, self.occ, self.documents), words.book_lemma_items(self.requests, self.analyses, self.documents)
+        ), "book_items")
+
+    @cached_property
+    def entry_items(self) -> DataFrame:
+        return session.save(words.merge_items(
+            words.entry_items(self.requests, self.reference_entries, self.reference_sources),
+            words.entry_lemma_items(self.requests, self.entry_analyses, self.reference_entries, self.reference_sources),
+        ), "entry_items")
+
+    @cached_property
+    def lexicon_items(self) -> DataFrame:
+        return session.save(words.lexicon_items(
+            self.requests, self.lexemes, self.lexeme_forms, words.lexeme_samples(self.occ, self.lexeme_forms)
+        ), "lexicon_items")
+
+    @cached_property
+    def word_items(self) -> DataFrame:
+        return self.book_items.unionByName(self.entry_items).unionByName(self.lexicon_items)
+
+    @cached_property
+    def external_items(self) -> DataFrame:
+        cached = external.cached_items(self.providers, self.external_cache, self.external_results, "normalized", self.now)
+        return session.save(words.external_items(self.requests, cached, words.corpus_items(self.requests, self.corpus_matches)), "external_items")
+
+    @cached_property
+    def word_candidates(self) -> DataFrame:
+        return session.save(review.document_word_candidates(
+            self.slice_numbers, self.groups, self.group_status, self.snapshots, self.documents
+        ), "word_candidates")
+
+    @cached_property
+    def workflow(self) -> DataFrame:
+        return session.save(review.workflow(self.documents, self.slice_numbers, self.groups), "workflow")
+
+    @cached_property
+    def job_events(self) -> DataFrame:
+        """Event rows as progress of long-running jobs, one job per user."""
+        return self.table("events").select(
+            F.col("user_id").alias("job_id"), jobs.kind_of(F.col("user_id")).alias("job_kind"), F.col("event_id"), F.col("ts").alias("created_at"),
+            F.col("event_type").alias("stage_code"), F.least(F.lit(100), F.floor("value")).cast("int").alias("progress_percent"),
+        )
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        e = self.job_events
+        last = F.struct("created_at", "event_id")
+        rows = e.groupBy("job_id", "job_kind").agg(
+            F.min("created_at").alias("created_at"), F.max(F.when(F.col("stage_code") == "view", F.col("created_at"))).alias("updated_at"),
+            F.max_by("stage_code", last).alias("last_stage"), F.count("*").cast("int").alias("items_processed"),
+        )
+        stage, job = F.col("last_stage"), F.col("job_id")
+        return rows.select(
+            "job_id", "job_kind", F.element_at(F.array(*[F.lit(o) for o in OWNERS]), (job % 4 + 1).cast("int")).alias("owner_id"),
+            F.when(stage == "error", "failed").when(stage == "purchase", "completed").when(stage == "signup", "queued").otherwise("running").alias("status"),
+            "created_at", "updated_at", "items_processed", (job % 40).cast("string").alias("document_id"),
+            F.when(job % 5 == 0, job - 7).alias("retry_of_job_id"), F.when(job % 5 == 1, job - 7).alias("resume_of_job_id"),
+        )
+
+    @property
+    def job_now(self) -> Column:
+        return F.to_timestamp(F.lit("2024-01-30 20:00:00"))
+
 
 _BENCHES: dict[tuple[str, str], Workbench] = {}
 

@@ -198,7 +198,7 @@ def evidence_tables() -> dict[str, str]:
             UNION ALL SELECT owner_id, normalized_form, 'feature:Number', CASE WHEN plural THEN 'Plur' ELSE 'Sing' END FROM analysis WHERE analysis_status='completed'
             UNION ALL SELECT owner_id, normalized_form, 'feature:Case', 'Nom' FROM analysis WHERE analysis_status='completed'
             UNION ALL SELECT owner_id, normalized_form, 'feature:Case', 'Acc' FROM analysis WHERE analysis_status='completed' AND plural) GROUP BY 1,2,3,4""",
-        "ecache": """SELECT normalized_form||'/'||k cache_id, CASE WHEN n%2=0 THEN upper(left(normalized_form,1))||substr(normalized_form,2) ELSE normalized_form END query_text, normalized_form,
+        "ecache": """SELECT normalized_form||'/'||k cache_id, CASE WHEN n%2=0 THEN translate(normalized_form, 'aeաե', 'AEԱԵ') ELSE normalized_form END query_text, normalized_form,
             CASE WHEN n%9=0 THEN 'failed' ELSE 'completed' END status, TIMESTAMP '2024-01-31' + to_days(CAST(k-1 AS INTEGER)) + to_hours(n) fetched_at, k,
             CASE WHEN n%4<>0 THEN TIMESTAMP '2024-01-31' + to_days(CAST(k-1 AS INTEGER)) + to_hours(n) + INTERVAL 24 HOUR END expires_at, n
             FROM (SELECT DISTINCT normalized_form, length(normalized_form) n FROM vocab), (VALUES (1),(2)) t(k)""",
