@@ -506,7 +506,7 @@ class Workbench:
     def job_events(self) -> DataFrame:
         """Event rows as progress of long-running jobs, one job per user."""
         return self.table("events").select(
-            F.col("user_id").alias("job_id"), jobs.kind_of(F.col("user_id")).alias("job_kind"), F.col("event_id"), F.col("ts").alias("created_at"),
+            F.col("user_id").alias("job_id"), jobs.kind_of(F.col("user_id")).alias("job_kind"), F.col("event_id"), F.col("ts").cast("timestamp").alias("created_at"),
             F.col("event_type").alias("stage_code"), F.least(F.lit(100), F.floor("value")).cast("int").alias("progress_percent"),
         )
 

@@ -170,19 +170,7 @@ def group_reference_status(w):
     return st.group_status(w.group_numbers, w.latest, w.direct_matches, w.reference_entries, w.reference_sources)
 
 
-@query("STA-3 STA-9", """WITH hit AS (SELECT DISTINCT v.owner_id, v.lexeme_id, l.entry_id, l.target_label, l.match_status, s.display_name
-     FROM lexvalue v JOIN latest l USING (owner_id, normalized_form) JOIN rsource s USING (owner_id, source_id)),
-   a AS (SELECT owner_id, lexeme_id, count(DISTINCT entry_id) n, arg_min(display_name, (display_name, target_label, entry_id)) bs, arg_min(target_label, (display_name, target_label, entry_id)) bf
-     FROM hit WHERE match_status='matched' GROUP BY 1,2),
-   cov AS (SELECT DISTINCT owner_id, lexeme_id FROM hit),
-   c AS (SELECT v.owner_id, v.lexeme_id, arg_min(e.n, (e.best_source, e.best_form, v.normalized_form)) n, arg_min(e.best_source, (e.best_source, e.best_form, v.normalized_form)) bs,
-     arg_min(e.best_form, (e.best_source, e.best_form, v.normalized_form)) bf FROM lexvalue v JOIN esum e USING (owner_id, normalized_form) GROUP BY 1,2)
-   SELECT l.owner_id, l.lexeme_id, coalesce(a.n, CASE WHEN cov.lexeme_id IS NULL THEN d.n END, c.n) IS NOT NULL has_reference_match,
-     coalesce(a.n, CASE WHEN cov.lexeme_id IS NULL THEN d.n END, c.n, 0) reference_match_count,
-     CASE WHEN a.n IS NOT NULL THEN a.bs WHEN cov.lexeme_id IS NULL AND d.n IS NOT NULL THEN d.best_source ELSE c.bs END best_source,
-     CASE WHEN a.n IS NOT NULL THEN a.bf WHEN cov.lexeme_id IS NULL AND d.n IS NOT NULL THEN d.best_form ELSE c.bf END best_form
-   FROM lexeme l LEFT JOIN a USING (owner_id, lexeme_id) LEFT JOIN cov ON cov.owner_id=l.owner_id AND cov.lexeme_id=l.lexeme_id
-   LEFT JOIN dsum d ON d.owner_id=l.owner_id AND d.target_type='lexeme' AND d.target_key=l.lexeme_id LEFT JOIN c ON c.owner_id=l.owner_id AND c.lexeme_id=l.lexeme_id""")
+@query("STA-3 STA-9", "SELECT owner_id, lexeme_id, has_reference_match, reference_match_count, best_source, best_form FROM lstatus")
 def lexeme_reference_status(w):
     return w.lexeme_status.select("owner_id", "lexeme_id", "has_reference_match", "reference_match_count", "best_source", "best_form")
 

@@ -128,6 +128,19 @@ def curated_tables() -> dict[str, str]:
             FROM groups g LEFT JOIN sfirst a USING (owner_id, normalized_form)
             LEFT JOIN dsum b ON b.owner_id=g.owner_id AND b.target_type='lexicon_group' AND b.target_key=g.normalized_form
             LEFT JOIN esum c ON c.owner_id=g.owner_id AND c.normalized_form=g.normalized_form""",
+        "lstatus": """WITH hit AS (SELECT DISTINCT v.owner_id, v.lexeme_id, l.entry_id, l.target_label, l.match_status, s.display_name
+     FROM lexvalue v JOIN latest l USING (owner_id, normalized_form) JOIN rsource s USING (owner_id, source_id)),
+   a AS (SELECT owner_id, lexeme_id, count(DISTINCT entry_id) n, arg_min(display_name, (display_name, target_label, entry_id)) bs, arg_min(target_label, (display_name, target_label, entry_id)) bf
+     FROM hit WHERE match_status='matched' GROUP BY 1,2),
+   cov AS (SELECT DISTINCT owner_id, lexeme_id FROM hit),
+   c AS (SELECT v.owner_id, v.lexeme_id, arg_min(e.n, (e.best_source, e.best_form, v.normalized_form)) n, arg_min(e.best_source, (e.best_source, e.best_form, v.normalized_form)) bs,
+     arg_min(e.best_form, (e.best_source, e.best_form, v.normalized_form)) bf FROM lexvalue v JOIN esum e USING (owner_id, normalized_form) GROUP BY 1,2)
+   SELECT l.owner_id, l.lexeme_id, coalesce(a.n, CASE WHEN cov.lexeme_id IS NULL THEN d.n END, c.n) IS NOT NULL has_reference_match,
+     coalesce(a.n, CASE WHEN cov.lexeme_id IS NULL THEN d.n END, c.n, 0) reference_match_count,
+     CASE WHEN a.n IS NOT NULL THEN a.bs WHEN cov.lexeme_id IS NULL AND d.n IS NOT NULL THEN d.best_source ELSE c.bs END best_source,
+     CASE WHEN a.n IS NOT NULL THEN a.bf WHEN cov.lexeme_id IS NULL AND d.n IS NOT NULL THEN d.best_form ELSE c.bf END best_form
+   FROM lexeme l LEFT JOIN a USING (owner_id, lexeme_id) LEFT JOIN cov ON cov.owner_id=l.owner_id AND cov.lexeme_id=l.lexeme_id
+   LEFT JOIN dsum d ON d.owner_id=l.owner_id AND d.target_type='lexeme' AND d.target_key=l.lexeme_id LEFT JOIN c ON c.owner_id=l.owner_id AND c.lexeme_id=l.lexeme_id""",
         "mgroup": """SELECT owner_id, normalized_form FROM latest WHERE match_status='matched'
             UNION SELECT owner_id, target_key FROM direct d WHERE target_type='lexicon_group' AND NOT EXISTS (SELECT 1 FROM latest l WHERE l.owner_id=d.owner_id AND l.normalized_form=d.target_key)
             UNION SELECT owner_id, normalized_form FROM cat""",
@@ -387,6 +400,15 @@ TABLES: dict[str, str] = {
 TABLES.update(curated_tables())
 TABLES.update(evidence_tables())
 TABLES.update(discovery_tables())
+TABLES.update({
+    "ev": """SELECT user_id job_id, ['ingestion','reference_import','reference_matching','morphology','nayiri_trusted_lookup','discovery_build'][user_id%6+1] job_kind, event_id,
+        ts created_at, event_type stage_code, least(100, floor(value))::INTEGER progress_percent FROM events""",
+    "jb": """SELECT job_id, job_kind, ['en','fr','de','es'][job_id%4+1] owner_id, CASE l WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'queued' ELSE 'running' END status,
+        c created_at, u updated_at, n items_processed, CAST(job_id%40 AS VARCHAR) document_id, CASE WHEN job_id%5=0 THEN job_id-7 END retry_of, CASE WHEN job_id%5=1 THEN job_id-7 END resume_of FROM (
+        SELECT job_id, job_kind, min(created_at) c, max(created_at) FILTER (stage_code='view') u, arg_max(stage_code, (created_at, event_id)) l, count(*) n, max(created_at) last_at FROM ev GROUP BY 1,2)""",
+    "jbstale": """SELECT j.*, coalesce(greatest(j.updated_at, e.m), j.created_at) last_progress_at, j.status IN ('queued','running') AND
+        coalesce(greatest(j.updated_at, e.m), j.created_at) + INTERVAL 30 MINUTE <= TIMESTAMP '2024-01-30 20:00:00' is_stale FROM jb j LEFT JOIN (SELECT job_id, max(created_at) m FROM ev GROUP BY 1) e USING (job_id)""",
+})
 
 
 def sql(body: str) -> str:

@@ -97,11 +97,9 @@ def word_evidence_page(w):
     return wd.evidence_page(w.word_items, 25).select("owner_id", "query_form", *_long("place"), "source_type", "source_id", "item_key")
 
 
-@query("WRD-10", f"""WITH lx AS (SELECT DISTINCT r.owner_id, r.query_form, h.lexeme_id FROM {REQ} r JOIN lexvalue h ON h.owner_id=r.owner_id AND h.normalized_form=r.query_form),
-   hit AS (SELECT DISTINCT v.owner_id, v.lexeme_id, l.entry_id, l.target_label, s.display_name FROM lexvalue v JOIN latest l USING (owner_id, normalized_form) JOIN rsource s USING (owner_id, source_id) WHERE l.match_status='matched'),
-   lbest AS (SELECT owner_id, lexeme_id, arg_min(display_name, (display_name, target_label, entry_id)) bs, arg_min(target_label, (display_name, target_label, entry_id)) bf FROM hit GROUP BY 1,2)
-   SELECT r.owner_id, r.query_form, g.best_source, g.best_form FROM {REQ} r JOIN gstatus g ON g.owner_id=r.owner_id AND g.normalized_form=r.query_form WHERE g.has_reference_match
-   UNION SELECT lx.owner_id, lx.query_form, b.bs, b.bf FROM lx JOIN lbest b USING (owner_id, lexeme_id)""")
+@query("WRD-10", f"""SELECT r.owner_id, r.query_form, g.best_source, g.best_form FROM {REQ} r JOIN gstatus g ON g.owner_id=r.owner_id AND g.normalized_form=r.query_form WHERE g.has_reference_match
+   UNION SELECT r.owner_id, r.query_form, l.best_source, l.best_form FROM {REQ} r JOIN lexvalue h ON h.owner_id=r.owner_id AND h.normalized_form=r.query_form
+   JOIN lstatus l ON l.owner_id=h.owner_id AND l.lexeme_id=h.lexeme_id WHERE l.has_reference_match""")
 def word_related_matches(w):
     return wd.related_matches(w.requests, w.group_status, w.lexeme_status, w.lexemes, w.lexeme_forms).select("owner_id", "query_form", "best_source", "best_form").distinct()
 
