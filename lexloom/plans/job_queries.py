@@ -110,11 +110,20 @@ def _stream_folder(w, name):
     return f"{session.shared_dir(w.spark)}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _event_stream(w):
-    """The event table as a stream, one file after another in order of time."""
+def _event_stream(w, steps=4, files=4):
+    """The event table as a stream that arrives in order of time, a few files per step.
+
+    A stream takes files by age, so the steps are written one after another.
+    """
     folder = _stream_folder(w, "events_in")
-    w.job_events.repartitionByRange(4, "created_at").write.parquet(folder)
-    return w.spark.readStream.schema(w.job_events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    at = F.unix_micros("created_at")
+    cuts = w.job_events.agg(F.percentile_approx(at, [i / steps for i in range(1, steps)], 10000).alias("c")).first()["c"]
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = w.job_events if low is None else w.job_events.where(at > low)
+        part = part if high is None else part.where(at <= high)
+        part.repartition(files).write.mode("append").parquet(folder)
+    return w.spark.readStream.schema(w.job_events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("EVT-10 LEX-6 SNK-1", """SELECT owner_id, normalized_form, document_id, occurrence_count, page_count, n_armenian, n_digit_mixed, n_latin, n_mixed, n_other FROM slice""")
