@@ -12,8 +12,10 @@ from pyspark.sql import Column, functions as F
 
 # Token shape, script classes and limits that results depend on.
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{Nd}]+(?:['’֊-][\p{L}\p{M}\p{Nd}]+)*"
-SPACE = r"[\s\x1c-\x1f]"
-INLINE_SPACE = r"(?U)[^\S\r\n]+"
+# Every blank a Unicode text may hold, as characters and as a pattern.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+INLINE_SPACE = r"[\t\x0b\x0c\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 BLANKS = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n]]"
 ARMENIAN_LETTER = r"[\p{IsArmenian}&&\p{L}]"
 # Letters of the Latin script whose character names do not say LATIN are left out.
@@ -53,7 +55,7 @@ def nfc(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim every kind of white space, not only U+0020."""
-    return F.regexp_replace(value, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def clean_extracted_text(value: Column) -> Column:
@@ -205,7 +207,7 @@ def is_suspicious(script: Column) -> Column:
 
 
 def _collapse(segment: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(segment, f"(?U){SPACE}+", " "), "^ ", "")
+    return F.regexp_replace(F.regexp_replace(segment, f"{SPACE}+", " "), "^ ", "")
 
 
 def context_snippet(
@@ -301,17 +303,17 @@ def only_punctuation(value: Column) -> Column:
 def looks_like_word(value: Column) -> Column:
     """SCL-12: no sentence end mark and a single blank-separated part."""
     v = strip(nfc(value))
-    return (v != "") & ~v.rlike("[.!?։…]") & ~v.rlike(f"(?U){SPACE}")
+    return (v != "") & ~v.rlike("[.!?։…]") & ~v.rlike(f"{SPACE}")
 
 
 def entry_candidates(block: Column, split_separators: bool = True) -> Column:
     """SCL-11: candidate entries of one text block, in order."""
 
     def parts(v: Column) -> Column:
-        words = F.size(F.split(v, f"(?U){SPACE}+"))
+        words = F.size(F.split(v, f"{SPACE}+"))
         commas = F.length(v) - F.length(F.replace(v, F.lit(","), F.lit("")))
         splittable = v.rlike("[;|/]") | ((commas == 1) & (words <= 6))
-        pieces = F.transform(F.split(v, f"(?U){SPACE}*[;,|/]{SPACE}*"), strip)
+        pieces = F.transform(F.split(v, f"{SPACE}*[;,|/]{SPACE}*"), strip)
         return F.when(splittable, pieces).otherwise(F.array(v))
 
     def keep(v: Column) -> Column:

@@ -137,11 +137,15 @@ def parse_features(value: Column) -> Column:
             F.when(F.contains(x, F.lit("=")), tx.strip(F.substring_index(x, "=", 1))).otherwise(x).alias("k"), values(x).alias("v")
         ),
     )
-    kept = F.filter(pairs, lambda p: p["v"].isNotNull())
-    # A later value of the same key wins, as in a plain dictionary.
-    last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda q: q["k"] == p["k"]))
+
+    def as_map(kept: Column) -> Column:
+        # A later value of the same key wins, as in a plain dictionary.
+        last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda q: q["k"] == p["k"]))
+        return F.when(F.size(kept) > 0, F.map_from_entries(last))
+
     text = tx.strip(value)
-    return F.when(value.isNotNull() & ~text.isin("", "_") & (F.size(kept) > 0), F.map_from_entries(last))
+    kept = F.filter(pairs, lambda p: p["v"].isNotNull())
+    return F.when(value.isNotNull() & ~text.isin("", "_"), tx.bind(kept, as_map))
 
 
 def fallback_features(columns: Column) -> Column:

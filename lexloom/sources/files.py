@@ -149,7 +149,7 @@ def sentences_from_lines(lines: DataFrame) -> DataFrame:
     """
     text = tx.strip(F.col("line"))
     blanks = F.count_if(text == "").over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    parts = F.split(text, f"(?U){tx.SPACE}+")
+    parts = F.split(text, f"{tx.SPACE}+")
     words = (
         lines.withColumn("sentence_no", blanks).withColumn("parts", parts)
         .where((text != "") & ~text.startswith("-DOCSTART-") & (F.size("parts") >= 2))
@@ -178,7 +178,7 @@ def sentence_records(records: DataFrame, label_names: list[str] | None = None) -
     def listed(name: str) -> Column:
         kind = dict(records.dtypes)[name]
         if kind == "string":
-            return F.split(tx.strip(F.col(name)), f"(?U){tx.SPACE}+")
+            return F.split(tx.strip(F.col(name)), f"{tx.SPACE}+")
         if label_names and kind in ("array<int>", "array<bigint>"):
             known = F.array(*[F.lit(x) for x in label_names])
             return F.transform(name, lambda i: F.coalesce(F.when(i < len(label_names), F.get(known, i.cast("int"))), i.cast("string")))
@@ -216,7 +216,7 @@ def annotated_tokens(texts: DataFrame) -> DataFrame:
         F.regexp_extract_all("text", F.lit(ANNOTATION), F.lit(2)).alias("note"),
     )
     before = tx.strip(F.substring_index("p.note", "@", 1))
-    first = F.get(F.split(before, f"(?U){tx.SPACE}+"), F.lit(0))
+    first = F.get(F.split(before, f"{tx.SPACE}+"), F.lit(0))
     surface = tx.normalize_token(F.col("p.surface"))
     return texts.select("source_id", F.explode(pairs).alias("p")).select(
         "source_id", surface.alias("surface"),
