@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
 from lexloom.operators import lexicon as lx, occurrences as oc
+from lexloom.operators.jobs import numbered
 from lexloom.plans.registry import query
 from lexloom.sources import corpus
 
@@ -107,12 +108,10 @@ def classification_backfill(w):
 @query("OCC-4", """SELECT document_id, page_number::BIGINT page_number, char_start::BIGINT char_start, token,
    row_number() OVER (PARTITION BY document_id ORDER BY page_number, char_start) AS reading_position FROM occ""")
 def occurrence_listing(w):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("document_id").orderBy("page_number", F.asc_nulls_first("char_start"))
-    return w.occ.select(
-        "document_id", *_long("page_number", "char_start"), "token",
-        F.row_number().over(order).cast("bigint").alias("reading_position"),
+    """Words of every document in reading order, numbered page by page."""
+    rows = w.occ.select("document_id", "page_number", "char_start", "token")
+    return numbered(rows, ["document_id"], "page_number", ["char_start"], "reading_position").select(
+        "document_id", *_long("page_number", "char_start"), "token", "reading_position"
     )
 
 

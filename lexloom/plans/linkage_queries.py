@@ -36,7 +36,21 @@ def normalized_matches(w):
     return lk.normalized_matches(w.targets, w.catalog).select(*MATCH.split(", "))
 
 
-@query("REF-5 SCL-13")
+# Common subsequence by rows; pairs that byte edit distance rules out are left out first.
+FUZZY = """WITH rest AS (SELECT t.* FROM target t WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.owner_id=t.owner_id AND d.target_type=t.target_type AND d.target_key=t.target_key)),
+   pair AS (SELECT DISTINCT r.owner_id, r.value a, c.normalized_form b, length(r.value) la, length(c.normalized_form) lb FROM rest r JOIN cat c ON c.owner_id=r.owner_id
+     AND left(c.normalized_form, 1)=left(r.value, 1) AND length(c.normalized_form) BETWEEN length(r.value)-2 AND length(r.value)+2
+     WHERE length(r.value)>2 AND c.last_import_method<>'pdf_ocr' AND c.normalized_form<>r.value AND (length(r.value)=3 OR left(c.normalized_form,2)=left(r.value,2))
+     AND levenshtein(r.value, c.normalized_form) <= 3*((length(r.value)+length(c.normalized_form))//10)),
+   scored AS (SELECT * FROM (WITH RECURSIVE lcs AS (SELECT owner_id, a, b, la, lb, 0 i, list_transform(range(0, lb+1), lambda x: 0::BIGINT) line FROM pair
+     UNION ALL SELECT owner_id, a, b, la, lb, i+1, list_concat([0::BIGINT], list_transform(range(1, lb+1), lambda j: list_max(c[1:j]))) FROM
+       (SELECT *, list_transform(range(1, lb+1), lambda j: CASE WHEN substr(a, i+1, 1)=substr(b, j, 1) THEN line[j]+1 ELSE line[j+1] END) c FROM lcs WHERE i<la))
+     SELECT owner_id, a, b, (1.0::DOUBLE-(la+lb-2*line[lb+1])/(la+lb)::DOUBLE)*100 score FROM lcs WHERE i=la) WHERE score>=90)
+   SELECT r.owner_id, r.target_type, r.target_key, c.source_id, c.entry_id, c.surface_form, 'fuzzy' match_type, round(max(s.score), 2) match_score
+   FROM rest r JOIN scored s ON s.owner_id=r.owner_id AND s.a=r.value JOIN cat c ON c.owner_id=r.owner_id AND c.normalized_form=s.b AND c.last_import_method<>'pdf_ocr' GROUP BY ALL"""
+
+
+@query("REF-5 SCL-13", FUZZY)
 def fuzzy_matches(w):
     """Conservative fuzzy matches of candidate forms and lexemes nothing else matched."""
     rest = w.targets.join(w.direct_matches.select(*lk.TARGET_KEY).distinct(), lk.TARGET_KEY, "left_anti")

@@ -123,13 +123,13 @@ def pdf_entries(lines: DataFrame) -> DataFrame:
 
 def read_wordlists(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-14: one reader per file suffix, results side by side."""
-    def part(reader, suffix: str) -> DataFrame | None:
-        jvm = spark._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.{suffix}")
-        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        return reader(spark, f"{folder.rstrip('/')}/*.{suffix}") if found else None
-
-    parts = [p for p in (part(read_txt, "txt"), part(read_csv, "csv"), part(read_docx, "docx")) if p is not None]
+    root = folder.rstrip("/")
+    # Only the names are read here; at most one row per supported suffix comes back.
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    names = spark.read.format("binaryFile").load(root).select(suffix.alias("suffix")).where(F.col("suffix").isin("txt", "csv", "docx"))
+    found = {r.suffix for r in names.distinct().collect()}
+    readers = {"txt": read_txt, "csv": read_csv, "docx": read_docx}
+    parts = [read(spark, f"{root}/*.{name}") for name, read in readers.items() if name in found]
     if not parts:
         raise ValueError("no supported wordlist files")
     out = parts[0]
