@@ -8,12 +8,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom import session
+from lexloom.llm import licences, line_spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session.tune(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from the token files."""
+    from lexloom.llm.token_files import read_documents, write_tokens
+
+    docs = table(spark, folder, "documents")
+    return read_documents(write_tokens(docs, session.shared_dir(spark), _vocabulary("byte_bpe_50k.json")))
+
+
+def op2_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that ten or more sources show."""
+    from lexloom.llm.line_spread import without_boilerplate
+
+    return without_boilerplate(table(spark, folder, "documents"))
+
+
+def op3_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals after inserts of all documents, deletes of toxic ones and revisions of poor ones.
+
+    The revised texts have their white space reduced to single blanks. Two batches are
+    delivered twice.
+    """
+    import uuid
+
+    import public_tokenizers
+
+    from lexloom.llm import token_rollups as tr
+
+    versions = {"byte_bpe_50k@1": _vocabulary("byte_bpe_50k.json"), "byte_bpe_multi_50k@1": _vocabulary("byte_bpe_multi_50k.tiktoken")}
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    store = tr.Rollups(spark, f"{session.shared_dir(spark)}/rollups-{uuid.uuid4().hex[:12]}")
+
+    def counted(rows: DataFrame, op: str) -> DataFrame:
+        return tr.count_tokens(rows, versions, public_tokenizers.PATTERN).select("*", F.lit(op).alias("op"), F.lit(0).alias("seq"))
+
+    def labelled(rule: str) -> DataFrame:
+        return labels.where(rule).select("doc_id").distinct()
+
+    store.apply(1, counted(docs, "insert"))
+    toxic = docs.join(labelled("toxic = 1"), "doc_id").select(tr.document_key().alias("doc_key"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"))
+    gone = toxic.select(F.lit("delete").alias("op"), "*", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
+    store.apply(2, gone)
+    poor = docs.join(labelled("quality = 0 and toxic = 0"), "doc_id").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    revised = counted(poor, "revise")
+    store.apply(3, revised)
+    store.apply(2, gone)
+    store.apply(3, revised)
+    return store.totals()
+
+
 def op4_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that each document gives to a mix of all sources by weight 5, 2, 1."""
     from lexloom.llm import pareto_mix as mix
@@ -29,6 +86,13 @@ def op5_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(table(spark, folder, "documents"))
 
 
+def op7_licence_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Canonical digest, licence and licence notices of every document."""
+    from lexloom.llm.licences import catalogue, scan
+
+    return scan(table(spark, folder, "documents"), catalogue(spark))
+
+
 def op9_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     from lexloom.llm.golay import near_duplicates
@@ -48,6 +112,10 @@ def op10_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pareto_mix, op5_repetition, op9_golay_simhash, op10_sampled_splitters)
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_line_spread, op3_token_rollups, op4_pareto_mix, op5_repetition, op7_licence_digests, op9_golay_simhash,
+        op10_sampled_splitters,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_spread": line_spread.SQL, "op7_licence_digests": licences.sql()}
