@@ -93,6 +93,13 @@ def op7_licence_digests(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"), catalogue(spark))
 
 
+def op8_simhash_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the window that is most like it."""
+    from lexloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     from lexloom.llm.golay import near_duplicates
@@ -114,7 +121,7 @@ def op10_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_files, op2_line_spread, op3_token_rollups, op4_pareto_mix, op5_repetition, op7_licence_digests, op9_golay_simhash,
+        op1_token_files, op2_line_spread, op3_token_rollups, op4_pareto_mix, op5_repetition, op7_licence_digests, op8_simhash_windows, op9_golay_simhash,
         op10_sampled_splitters,
     )
 }
