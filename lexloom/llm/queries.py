@@ -86,6 +86,14 @@ def op5_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(table(spark, folder, "documents"))
 
 
+def op6_maximal_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the strings of 50 bytes that a smaller doc_id has too."""
+    from lexloom.llm.repeats import without_repeats
+
+    got = without_repeats(table(spark, folder, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_licence_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical digest, licence and licence notices of every document."""
     from lexloom.llm.licences import catalogue, scan
@@ -121,7 +129,7 @@ def op10_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_files, op2_line_spread, op3_token_rollups, op4_pareto_mix, op5_repetition, op7_licence_digests, op8_simhash_windows, op9_golay_simhash,
+        op1_token_files, op2_line_spread, op3_token_rollups, op4_pareto_mix, op5_repetition, op6_maximal_repeats, op7_licence_digests, op8_simhash_windows, op9_golay_simhash,
         op10_sampled_splitters,
     )
 }
