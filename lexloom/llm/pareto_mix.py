@@ -173,16 +173,16 @@ def one_by_one(units: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row as often as it is taken, with all its columns."""
-    h1, h2, n, e, at = (fresh(docs, x) for x in ("h1", "h2", "n", "e", "at"))
+    h1, h2, n, e, at, id_, src, x1, x2, times = (fresh(docs, x) for x in ("h1", "h2", "n", "e", "at", "id_", "src", "x1", "x2", "times"))
     got = sample(docs, mix, key, text, source).where("size > 0 and (whole > 0 or extra > 0)")
-    plans = got.select(F.col("id").alias("_id"), F.col("source").alias("_s"), F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.col("times").alias("_n"), F.col("whole").alias(n), F.col("extra").alias(e))
+    plans = got.select(*(F.col(a).alias(b) for a, b in (("id", id_), ("source", src), ("h1", x1), ("h2", x2), ("times", times), ("whole", n), ("extra", e))))
     keyed = docs.withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(7), F.col(text))})
-    on = F.col(key).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col(h1) == F.col("_1")) & (F.col(h2) == F.col("_2"))
+    on = F.col(key).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(src)) & (F.col(h1) == F.col(x1)) & (F.col(h2) == F.col(x2))
     held = keyed.join(plans, on)
     # Only rows that are repeated and of which a part is taken need a number.
-    single = held.where((F.col("_n") == 1) | (F.col(e) == 0) | (F.col(e) == F.col("_n"))).withColumn(at, F.col(n) + (F.col(e) > 0).cast("int"))
-    parts = session.save(held.where((F.col("_n") > 1) & (F.col(e) > 0) & (F.col(e) < F.col("_n"))), "mix-parts")
+    single = held.where((F.col(times) == 1) | (F.col(e) == 0) | (F.col(e) == F.col(times))).withColumn(at, F.col(n) + (F.col(e) > 0).cast("int"))
+    parts = session.save(held.where((F.col(times) > 1) & (F.col(e) > 0) & (F.col(e) < F.col(times))), "mix-parts")
     if not parts.isEmpty():
-        own = Window.partitionBy("_id", "_s", "_1", "_2").orderBy(F.lit(0))
+        own = Window.partitionBy(id_, src, x1, x2).orderBy(F.lit(0))
         single = single.unionByName(parts.withColumn(at, F.col(n) + (F.row_number().over(own) <= F.col(e)).cast("int")))
     return single.where(F.col(at) > 0).withColumn(at, F.explode(F.sequence(F.lit(1), F.col(at)))).select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom import session
-from lexloom.llm import licences, line_spread
+from lexloom.llm import licences, line_spread, repetition
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,9 +81,7 @@ def op4_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, repetition coverage and verdict of every document."""
-    from lexloom.llm.repetition import repetition
-
-    return repetition(table(spark, folder, "documents"))
+    return repetition.repetition(table(spark, folder, "documents"))
 
 
 def op6_maximal_repeats(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,4 +131,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sampled_splitters,
     )
 }
-ORACLES: dict[str, str] = {"op2_line_spread": line_spread.SQL, "op7_licence_digests": licences.sql()}
+ORACLES: dict[str, str] = {"op2_line_spread": line_spread.SQL, "op5_repetition": repetition.sql(), "op7_licence_digests": licences.sql()}

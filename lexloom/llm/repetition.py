@@ -131,3 +131,29 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> Da
             yield part.filter(pa.array(measure(data, offsets, rules)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def sql(rules: Rules = Rules()) -> str:
+    """The same rows from DuckDB: one row an n-gram, numbered among its equals in the text."""
+    sizes = sorted({rules.base_gram, *rules.gram_shares})
+    grams = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, i AS pos, array_to_string(ws[i:i + {n} - 1], ' ') AS gram FROM w, range(1, len(ws) - {n} + 2) r(i)" for n in sizes)
+    measures = "".join(f"coalesce(max(chars) FILTER (WHERE n = {n}), 0)::BIGINT AS dup_chars_{n}, " for n in sorted(rules.gram_shares))
+    good = " AND ".join(f"dup_chars_{n} <= {share} * word_chars" for n, share in sorted(rules.gram_shares.items()))
+    word = "'[^\\x20\\x09-\\x0D]+'"
+    return f"""
+WITH w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {word}) AS ws FROM documents),
+g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY pos) AS nth, count(*) OVER (PARTITION BY doc_id, n, gram) AS times FROM ({grams})),
+later AS (SELECT DISTINCT doc_id, n, pos + k AS p FROM g, range(0, 16) r(k) WHERE nth > 1 AND k < n),
+covered AS (SELECT later.doc_id, n, sum(length(ws[p])) AS chars FROM later JOIN w USING (doc_id) GROUP BY ALL),
+shares AS (SELECT doc_id, {measures}0 AS unused FROM covered GROUP BY doc_id),
+base AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM g, range(0, {rules.base_gram}) r(k) WHERE times > 1 AND g.n = {rules.base_gram} GROUP BY doc_id),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)),
+d AS (SELECT doc_id, count(*) AS n, sum(length(array_to_string(regexp_extract_all(line, {word}), ''))) AS chars FROM l WHERE nth > 1 AND regexp_matches(line, {word}) GROUP BY doc_id),
+a AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(base.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(d.chars, 0)::BIGINT AS dup_line_chars, {", ".join(f"coalesce(dup_chars_{n}, 0)::BIGINT AS dup_chars_{n}" for n in sorted(rules.gram_shares))}
+  FROM w LEFT JOIN d USING (doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN shares USING (doc_id)
+), b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.base_percent} * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND dup_line_chars <= {rules.line_share} * word_chars AND {good} AS kept FROM b
+"""
