@@ -387,7 +387,7 @@ def reference_refresh_forms(w):
     """Candidates that a refresh from the first wordlist of every owner rebuilds."""
     first = w.reference_sources.where("display_name = 'wordlist-0'")
     refs = ev.top_references(w.reference_entries.join(first.select("source_id"), "source_id", "left_semi"), first)
-    built = dc.build_candidates(w.buckets, w.documents, w.resolutions, w.lexeme_map, refs, w.analyses, reference_only=True)
+    built = dc.build_candidates(w.buckets, w.documents, w.resolutions, w.lexeme_map, refs, w.analyses, reference_only=True, keep=w.keep_scope)
     return built.select("owner_id", "document_id", "normalized_form", "occurrence_count")
 
 

@@ -70,7 +70,10 @@ class Workbench:
             .when(lang == "es", F.replace(text, F.lit("la"), F.lit("լա")))
             .otherwise(text)
         )
-        stored = session.spread(self.table("documents").select("doc_id", "lang", "text"), "doc_id")
+        stored = self.table("documents").select("doc_id", "lang", "text")
+        # The test tables are one file with one row group, which one task would read.
+        if len(stored.inputFiles()) == 1:
+            stored = stored.repartition("doc_id")
         return stored.select(
             F.col("doc_id").cast("string").alias("document_id"), lang.alias("owner_id"), noisy.alias("text")
         )
@@ -442,13 +445,17 @@ class Workbench:
     def latest_external(self) -> DataFrame:
         return evidence.latest_external(self.external_cache, self.external_results, self.providers)
 
+    @staticmethod
+    def keep_scope(scope: DataFrame) -> DataFrame:
+        return session.save(scope, "evidence_scope")
+
     @cached_property
     def candidates(self) -> DataFrame:
         """Candidates of a full build; in documents with a good label every second form is reviewed."""
         built = discovery.build_candidates(
             self.buckets, self.documents, self.resolutions, self.lexeme_map,
             evidence.top_references(self.reference_entries, self.reference_sources), self.analyses, self.corpus_matches,
-            (self.entity_entries, self.ner_sources), self.latest_external,
+            (self.entity_entries, self.ner_sources), self.latest_external, keep=self.keep_scope,
         )
         good = self.table("labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
         old = self.buckets.join(good, "document_id").where(F.length("normalized_form") % 2 == 0).select(

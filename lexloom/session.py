@@ -25,30 +25,36 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; our own only where the session names none."""
+    """Folder that the driver and all executors reach: the one named by the session.
+
+    Only a session that runs in one process may go without; it gets a folder of its own.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
+#: Shuffle files of a write are of no use once it is done.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
-    The written table survives lost executors, unlike cached blocks.
+    The written table survives lost executors, unlike cached blocks. The write's own shuffle
+    files are dropped at its end, so a chain of saved steps holds the disk of one step.
     """
     spark = df.sparkSession
     safe = re.sub(r"[^a-z0-9_]+", "_", name.lower())
     path = f"{shared_dir(spark)}/lexloom/{safe}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over all cores when the source has fewer splits than cores.
-
-    A table of many files is already split and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2, *keys) if df.rdd.getNumPartitions() < cores else df
