@@ -124,13 +124,16 @@ def corpus_index(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_surface, by_lemma
 
 
-def corpus_lookup(queries: DataFrame, by_surface: DataFrame, by_lemma: DataFrame, limit: int = 8) -> DataFrame:
-    """NER-5: lemmas of a form by count; a form without any is looked up as a lemma itself.
+def corpus_lookup(queries: DataFrame, by_surface: DataFrame, by_lemma: DataFrame, limit: int | None = None) -> DataFrame:
+    """NER-5: ranked lemmas of a form by count; a form without any is looked up as a lemma itself.
+
+    Readers of a kept table apply their own limits to ``lemma_rank``.
 
     ``queries``: normalized_form, distinct.
     """
     order = Window.partitionBy("surface").orderBy(F.col("token_count").desc(), "lemma")
-    top = by_surface.withColumn("lemma_rank", F.row_number().over(order)).where(F.col("lemma_rank") <= limit)
+    ranked = by_surface.withColumn("lemma_rank", F.row_number().over(order))
+    top = ranked if limit is None else ranked.where(F.col("lemma_rank") <= limit)
     direct = queries.join(top, F.col("normalized_form") == F.col("surface")).drop("surface")
     rest = queries.join(by_surface.select(F.col("surface").alias("normalized_form")).distinct(), "normalized_form", "left_anti")
     as_lemma = rest.join(by_lemma, F.col("normalized_form") == F.col("lemma")).withColumn("lemma_rank", F.lit(1))

@@ -128,7 +128,7 @@ def group_samples(slices: DataFrame, documents: DataFrame) -> DataFrame:
     )
     values = listed("sample_tokens").unionByName(listed("sample_contexts")).unionByName(titles)
     firsts = values.groupBy(*GROUP_KEY, "kind", "value").agg(
-        F.min(F.struct(F.col("document_id").cast("bigint"), "document_id", "pos")).alias("first_at")
+        F.min(F.struct("document_id", "pos")).alias("first_at")
     )
     rank = F.row_number().over(Window.partitionBy(*GROUP_KEY, "kind").orderBy("first_at", "value"))
     top = firsts.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_LIMIT)
@@ -164,13 +164,14 @@ def with_state(groups: DataFrame, lexeme_forms: DataFrame, lexemes: DataFrame, r
     )
 
 
-def replace_document_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+def replace_document_pages(old: DataFrame, new: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """LEX-6: take a page delta into the occurrence set.
 
     Rows of a (document, page) that arrives again are replaced, so applying the
-    same delta twice gives the same index.
+    same delta twice gives the same index.  ``pages`` names the arriving pages, also
+    those without a word; without it they are taken from the rows.
     """
-    touched = new.select("document_id", "page_id").distinct()
+    touched = (new if pages is None else pages).select("document_id", "page_id").distinct()
     return old.join(touched, ["document_id", "page_id"], "left_anti").unionByName(new)
 
 
@@ -275,7 +276,7 @@ def by_reference_status(groups: DataFrame, matched_keys: DataFrame, status: str)
 def first_occurrences(occ: DataFrame, limit: int = DETAIL_LIMIT, key: Sequence[str] = ("owner_id", "normalized_token")) -> DataFrame:
     """LEX-16/17: first ``limit`` rows per key in page order."""
     order = Window.partitionBy(*key).orderBy(
-        "page_number", F.asc_nulls_first("char_start"), F.col("document_id").cast("bigint"), "document_id"
+        "page_number", F.asc_nulls_first("char_start"), "document_id"
     )
     return occ.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

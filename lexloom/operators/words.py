@@ -99,7 +99,7 @@ def _entry(rows: DataFrame, sources: DataFrame, matched: Column, via: str) -> Da
 
 def lexeme_samples(occ: DataFrame, lexeme_forms: DataFrame) -> DataFrame:
     """WRD-5: first occurrence of each lexeme; per form first, on the map side."""
-    order = F.struct("page_number", F.col("document_id").cast("bigint"), "document_id", "char_start")
+    order = F.struct("page_number", "document_id", "char_start")
     per_form = occ.groupBy("owner_id", F.col("normalized_token").alias("normalized_form")).agg(
         F.min(order).alias("place"), F.min_by("context_snippet", order).alias("context_snippet")
     )

@@ -60,7 +60,7 @@ def corpus_lemma_totals(w):
 
 @query("NER-5 WRD-16", "SELECT normalized_form, lemma, token_count, source_count, lemma_rank::BIGINT lemma_rank FROM clookup WHERE lemma_rank<=8")
 def corpus_lookup(w):
-    return w.corpus_matches.select("normalized_form", "lemma", "token_count", "source_count", *_long("lemma_rank"))
+    return w.corpus_matches.where("lemma_rank <= 8").select("normalized_form", "lemma", "token_count", "source_count", *_long("lemma_rank"))
 
 
 # Morphology -------------------------------------------------------------------------

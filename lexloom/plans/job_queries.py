@@ -162,6 +162,6 @@ def stream_snapshots(w):
 def stream_staleness(w):
     """Silences of half an hour, found with session windows and a watermark."""
     table, check = _stream_folder(w, "stale_out"), _stream_folder(w, "stale_cp")
-    sj.run_to_table(sj.stale_jobs(_event_stream(w)), table, check).awaitTermination()
+    sj.run_to_table(sj.stale_jobs(_event_stream(w), lateness="1 minute"), table, check).awaitTermination()
     rows = w.spark.read.schema("job_kind string, job_id bigint, last_progress_at timestamp, events bigint, stale_at timestamp").parquet(table)
     return rows.select("job_id", _epoch("last_progress_at"), "events")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from lexloom import session
 from lexloom.functions import text as tx
 from lexloom.operators import curation as cu, lexicon as lx, occurrences as oc, resolve as rs
 from lexloom.plans.index_queries import _listed, _long
@@ -125,7 +126,7 @@ def unmatched_groups(w):
     return lx.by_reference_status(w.groups, keys, "unmatched").select(*STATE_COLS)
 
 
-FIRST100 = """(SELECT *, row_number() OVER (PARTITION BY owner_id, normalized_token ORDER BY page_number, char_start, CAST(document_id AS BIGINT)) k FROM occs)"""
+FIRST100 = """(SELECT *, row_number() OVER (PARTITION BY owner_id, normalized_token ORDER BY page_number, char_start, document_id) k FROM occs)"""
 
 
 @query("LEX-16", f"""SELECT o.owner_id, normalized_token normalized_form, k::BIGINT AS rank, document_id, page_id, token, context_snippet, char_start::BIGINT char_start,
@@ -154,8 +155,8 @@ def group_samples(w):
 @query("LEX-2", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY owner_id, nf, document_id, kind ORDER BY k, v) pos FROM (
      SELECT owner_id, normalized_token nf, document_id, 't' kind, token v, min(page_number::BIGINT*10000000+char_start) k FROM occ GROUP BY ALL
      UNION ALL SELECT owner_id, normalized_token, document_id, 'c', context_snippet, min(page_number::BIGINT*10000000+char_start) FROM occs GROUP BY ALL)),
-   m AS (SELECT owner_id, nf, kind, v, min((CAST(document_id AS BIGINT), pos)) k FROM s WHERE pos<=5 GROUP BY ALL
-     UNION ALL SELECT o.owner_id, normalized_token, 'd', title, min((CAST(document_id AS BIGINT), 0::BIGINT)) FROM occ o JOIN doc USING (document_id) GROUP BY ALL)
+   m AS (SELECT owner_id, nf, kind, v, min((document_id, pos)) k FROM s WHERE pos<=5 GROUP BY ALL
+     UNION ALL SELECT o.owner_id, normalized_token, 'd', title, min((document_id, 0::BIGINT)) FROM occ o JOIN doc USING (document_id) GROUP BY ALL)
    SELECT owner_id, nf normalized_form, string_agg(v,' | ' ORDER BY rn) FILTER (kind='t') sample_tokens, string_agg(v,' | ' ORDER BY rn) FILTER (kind='c') sample_contexts,
      string_agg(v,' | ' ORDER BY rn) FILTER (kind='d') sample_document_titles FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, nf, kind ORDER BY k, v) rn FROM m) WHERE rn<=5 GROUP BY 1,2""")
 def group_rollup_samples(w):
@@ -206,6 +207,10 @@ REQUEST_SQL = """request AS (SELECT owner_id, owner_id||'-rq-'||left(normalized_
    refused AS (SELECT DISTINCT request_id FROM request r JOIN lexform f USING (owner_id, normalized_form))"""
 
 
+def _kept(df):
+    return session.save(df, "claims")
+
+
 def _requests(w):
     """Forms that share two first letters are asked for as one new lexeme."""
     forms = w.vocabulary.select("owner_id", "normalized_form").distinct()
@@ -225,11 +230,59 @@ def lexeme_conflicts(w):
 @query("CUR-1", f"""WITH {REQUEST_SQL} SELECT owner_id, min(normalized_form) canonical_form, min(normalized_form) canonical_normalized_form, 'draft' status, count(*) forms
    FROM request WHERE request_id NOT IN (SELECT request_id FROM refused) GROUP BY owner_id, request_id""")
 def created_lexemes(w):
-    made, forms = cu.create_lexemes(_requests(w), w.lexeme_forms)
+    made, forms = cu.create_lexemes(_requests(w), w.lexeme_forms, _kept)
     counts = forms.groupBy("owner_id", "lexeme_id").agg(F.count("*").alias("forms"))
     return made.join(counts, ["owner_id", "lexeme_id"]).select("owner_id", "canonical_form", "canonical_normalized_form", "status", "forms")
 
 
+def _chains(w):
+    """Free words by rank; in every four, requests 1, 2 and 3 each want a word and the next."""
+    free = w.vocabulary.select("owner_id", "normalized_form").distinct().join(w.lexeme_forms, ["owner_id", "normalized_form"], "left_anti")
+    ranked = free.withColumn("n", F.row_number().over(Window.partitionBy("owner_id").orderBy("normalized_form")))
+    wanted = ranked.select("owner_id", "normalized_form", F.explode(F.array(F.col("n"), F.col("n") - 1)).alias("n")).where("n % 4 IN (1, 2, 3)")
+    return wanted.groupBy("owner_id", "n").agg(F.array_sort(F.collect_set("normalized_form")).alias("forms"))
+
+
+@query("CUR-1", """WITH v AS (SELECT owner_id, normalized_form, row_number() OVER (PARTITION BY owner_id ORDER BY normalized_form) n FROM
+     (SELECT DISTINCT owner_id, normalized_form FROM vocab x WHERE NOT EXISTS (SELECT 1 FROM lexform f WHERE f.owner_id=x.owner_id AND f.normalized_form=x.normalized_form)))
+   SELECT a.owner_id, a.n::BIGINT request, b.normalized_form FROM v a JOIN v b ON b.owner_id=a.owner_id AND b.n-a.n IN (0, 1) WHERE a.n%4 IN (1, 3)""")
+def overlapping_requests(w):
+    """Requests of one batch that want the same words: the first of each pair wins."""
+    chains = _chains(w)
+    request = chains.select(
+        "owner_id", F.concat_ws("-", "owner_id", "n").alias("request_id"), "forms", F.get("forms", F.lit(0)).alias("canonical_form"),
+        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("notes"), F.col("n").cast("bigint").alias("created_seq"),
+    )
+    made, forms = cu.create_lexemes(request, w.lexeme_forms, _kept)
+    return forms.join(made.select("lexeme_id", "created_seq"), "lexeme_id").select("owner_id", F.col("created_seq").alias("request"), "normalized_form")
+
+
+@query("CUR-5", """WITH v AS (SELECT owner_id, normalized_form, row_number() OVER (PARTITION BY owner_id ORDER BY normalized_form) n FROM
+     (SELECT DISTINCT owner_id, normalized_form FROM vocab x WHERE NOT EXISTS (SELECT 1 FROM lexform f WHERE f.owner_id=x.owner_id AND f.normalized_form=x.normalized_form)))
+   SELECT owner_id, normalized_form, CASE WHEN n%4 IN (1, 2) THEN 'linked' WHEN n%4=3 THEN 'unreviewed' ELSE 'ignored_noise' END group_state FROM v v2
+   WHERE n%4 IN (0, 1, 3) OR EXISTS (SELECT 1 FROM v p WHERE p.owner_id=v2.owner_id AND p.n=v2.n-1)""")
+def ordered_actions(w):
+    """Actions in request order: a merge after a creation of the same word fails, the last of ignore and unignore counts."""
+    chains = _chains(w)
+    none = F.lit(None).cast("string")
+    base = chains.select("owner_id", "n", "forms", F.get("forms", F.lit(0)).alias("first"))
+    some = w.lexemes.groupBy("owner_id").agg(F.min("lexeme_id").alias("some_id"))
+    def act(rows, action, forms, seq, lexeme=none):
+        return rows.select(
+            "owner_id", F.concat_ws("-", "owner_id", F.lit(action), "n", F.lit(str(seq))).alias("request_id"), F.lit(action).alias("action"), forms.alias("forms"),
+            F.get(forms, F.lit(0)).alias("canonical_form"), lexeme.alias("lexeme_id"), none.alias("status"), none.alias("notes"), none.alias("reviewer_note"),
+            F.lit(seq).cast("bigint").alias("created_seq"),
+        )
+    ones, threes = base.where("n % 4 = 1"), base.where("n % 4 = 3")
+    last = F.slice("forms", 2, 1)
+    actions = (
+        act(ones, "create_lexeme", F.col("forms"), 1).unionByName(act(ones.join(some, "owner_id"), "merge_into_lexeme", F.col("forms"), 2, F.col("some_id")))
+        .unionByName(act(threes, "ignore", F.array("first"), 1)).unionByName(act(threes, "unignore", F.array("first"), 2))
+        .unionByName(act(threes, "unignore", last, 3)).unionByName(act(threes, "ignore", last, 4))
+    )
+    return cu.run_actions(actions, w.lexemes, w.lexeme_forms, w.reviews, _kept)[3].select("owner_id", "normalized_form", "group_state")
+
+
 MERGE_SQL = """merges AS (SELECT DISTINCT l.owner_id, l.lexeme_id, v.normalized_form FROM lexeme l JOIN vocab v ON v.owner_id=l.owner_id
      AND left(v.normalized_form,3)=left(l.canonical_normalized_form,3)),
    bad AS (SELECT DISTINCT m.owner_id, m.lexeme_id FROM merges m JOIN lexform f USING (owner_id, normalized_form) WHERE f.lexeme_id<>m.lexeme_id)"""
@@ -242,7 +295,7 @@ def merged_lexeme_forms(w):
     merges = w.lexemes.withColumn("p", F.substring("canonical_normalized_form", 1, 3)).join(near, ["owner_id", "p"]).select(
         "owner_id", "lexeme_id", "normalized_form"
     )
-    return cu.merge_forms(w.lexeme_forms, merges)
+    return cu.merge_forms(w.lexeme_forms, merges, _kept)
 
 
 @query("CUR-3", """SELECT owner_id, lexeme_id, CASE WHEN status='draft' THEN canonical_form||'X' ELSE canonical_form END canonical_form,
@@ -281,7 +334,7 @@ def batch_actions(w):
         F.lit(None).cast("string").alias("lexeme_id"), F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("reviewer_note"), F.lit(99).cast("bigint").alias("created_seq"),
     )
-    return cu.run_actions(actions, w.lexemes, w.lexeme_forms, w.reviews)[3].select("owner_id", "normalized_form", "group_state")
+    return cu.run_actions(actions, w.lexemes, w.lexeme_forms, w.reviews, _kept)[3].select("owner_id", "normalized_form", "group_state")
 
 
 @query("CUR-6", """SELECT l.owner_id, l.lexeme_id, l.canonical_form, l.status, count(*) form_count, coalesce(sum(g.occurrence_count),0)::BIGINT occurrence_count
@@ -298,7 +351,7 @@ def lexeme_picker(w):
 
 
 @query("CUR-8", """WITH last AS (SELECT f.owner_id, f.lexeme_id, o.context_snippet, row_number() OVER (PARTITION BY f.owner_id, f.lexeme_id
-     ORDER BY CAST(document_id AS BIGINT) DESC, page_number DESC, char_start DESC) k FROM occs o JOIN lexform f ON f.owner_id=o.owner_id AND f.normalized_form=o.normalized_token),
+     ORDER BY document_id DESC, page_number DESC, char_start DESC) k FROM occs o JOIN lexform f ON f.owner_id=o.owner_id AND f.normalized_form=o.normalized_token),
    u AS (SELECT owner_id, lexeme_id, context_snippet, min(k) k FROM last WHERE k<=50 GROUP BY ALL),
    v AS (SELECT *, row_number() OVER (PARTITION BY owner_id, lexeme_id ORDER BY k, context_snippet) rn FROM u)
    SELECT l.owner_id, l.lexeme_id, (SELECT string_agg(context_snippet, ' | ' ORDER BY rn) FROM v WHERE v.owner_id=l.owner_id AND v.lexeme_id=l.lexeme_id AND rn<=5) sample_contexts FROM lexeme l""")

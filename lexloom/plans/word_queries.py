@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import linkage as lk, review as rv, status as st, words as wd, external as ex, morphology as mo
+from lexloom.operators import entities as en, linkage as lk, review as rv, status as st, words as wd, external as ex, morphology as mo
 from lexloom.plans.index_queries import _listed, _long
 from lexloom.plans.registry import query
 
@@ -21,7 +21,7 @@ ELEMMAS = f"""SELECT r.owner_id, r.query_form, e.source_id, s.display_name, e.su
 ENTRIES = f"""(SELECT *, 'reference_source' source_type FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, query_form, item_key ORDER BY via DESC, coalesce(matched_form,'')) k FROM ({ETOKENS} UNION ALL {ELEMMAS})) WHERE k=1)"""
 LEXHIT = f"""(SELECT r.owner_id, r.query_form, l.lexeme_id source_id, l.canonical_form source_title, l.canonical_form word_form, r.query_form item_form, NULL matched_form, p.page_number, l.lexeme_id item_key, 'token' via, 'lexicon' source_type
    FROM {REQ} r JOIN (SELECT owner_id, canonical_normalized_form nf, lexeme_id FROM lexeme UNION SELECT owner_id, normalized_form, lexeme_id FROM lexform) h ON h.owner_id=r.owner_id AND h.nf=r.query_form
-   JOIN lexeme l ON l.owner_id=h.owner_id AND l.lexeme_id=h.lexeme_id LEFT JOIN (SELECT f.owner_id, f.lexeme_id, arg_min(o.page_number, (o.page_number, CAST(o.document_id AS BIGINT), o.char_start)) page_number
+   JOIN lexeme l ON l.owner_id=h.owner_id AND l.lexeme_id=h.lexeme_id LEFT JOIN (SELECT f.owner_id, f.lexeme_id, arg_min(o.page_number, (o.page_number, o.document_id, o.char_start)) page_number
      FROM occ o JOIN lexform f ON f.owner_id=o.owner_id AND f.normalized_form=o.normalized_token GROUP BY 1,2) p ON p.owner_id=l.owner_id AND p.lexeme_id=l.lexeme_id)"""
 COLS = "owner_id, query_form, source_type, source_id, source_title, word_form, item_form, matched_form, page_number::BIGINT page_number, item_key, via"
 ALL = f"(SELECT {COLS} FROM {BOOK} UNION ALL SELECT {COLS} FROM {ENTRIES} UNION ALL SELECT {COLS} FROM {LEXHIT})"
@@ -68,6 +68,19 @@ def word_corpus_evidence(w):
     return wd.corpus_items(w.requests, w.corpus_matches).select("owner_id", "query_form", "matched_form", "match_type", "source_subtitle")
 
 
+@query("WRD-7 NER-4 NER-5", """WITH t AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) w FROM documents),
+   c AS (SELECT left(w, 3) s, w lemma, count(*) n, count(DISTINCT source) sc FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, lemma) k FROM c)
+   SELECT s query_form, lemma matched_form, n||' attested tokens across '||sc||' sources' source_subtitle FROM r WHERE k<=20""")
+def word_corpus_many_lemmas(w):
+    """Forms of hundreds of lemmas: words of the documents as lemmas of their first letters."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    tokens = w.table("documents").select(F.col("source").alias("source_id"), found.alias("lemma")).withColumn("surface", F.left("lemma", F.lit(3)))
+    by_surface, by_lemma = en.corpus_index(tokens)
+    asked = by_surface.select(F.col("surface").alias("normalized_form")).distinct()
+    requests = asked.select(F.lit("all").alias("owner_id"), F.col("normalized_form").alias("query_form"))
+    return wd.corpus_items(requests, en.corpus_lookup(asked, by_surface, by_lemma)).select("query_form", "matched_form", "source_subtitle")
+
+
 EXTERNAL = f"""(SELECT r.owner_id, r.query_form, 'nayiri_web' provider_key, 'Web dictionary' provider_display_name, e.source_title, e.matched_form, e.reference_link, e.match_type, e.match_score FROM {REQ} r JOIN ecur c ON c.normalized_form=r.query_form AND c.fresh
      JOIN eresult e ON e.cache_id=c.cache_id UNION ALL SELECT r.owner_id, r.query_form, 'nayiri_western_corpus', 'Nayiri Corpus', 'Nayiri Western Armenian Corpus', c.lemma, NULL,
      CASE WHEN c.lemma=r.query_form THEN 'normalized' ELSE 'fuzzy' END, CASE WHEN c.lemma=r.query_form THEN 100.0 END::DOUBLE FROM {REQ} r JOIN clookup c ON c.normalized_form=r.query_form WHERE c.lemma_rank<=20)"""

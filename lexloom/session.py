@@ -58,3 +58,19 @@ def save(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that ``save`` wrote and that no later step reads."""
+    for df in kept:
+        spark, ours = df.sparkSession, f"{shared_dir(df.sparkSession)}/lexloom/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if _inside(spark, ours, path):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _inside(spark: SparkSession, root: str, path) -> bool:
+    """Whether the path is a table of our own folder."""
+    parent = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getParent().toUri().getPath() == parent.toUri().getPath()

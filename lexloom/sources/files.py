@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from io import BytesIO
 from xml.etree import ElementTree
 
@@ -14,7 +15,7 @@ from lexloom.functions import text as tx
 
 PAIR = ["file", "surface_form", "normalized_form"]
 PDF_TEXT_MIN_LENGTH = 40
-OCR_WARNING = "This reference source was imported from scanned PDF using OCR. Matches may contain OCR noise."
+OCR_WARNING = "Entries were recognized from page images; expect misread letters among the matches."
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Fixed value: marker of an annotated word, surface and annotation.
 ANNOTATION = r"\[\[(.*?)>>>\s*(.*?)\]\]"
@@ -72,9 +73,20 @@ def csv_entries(rows: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-4."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("file", F.col("_metadata.file_path"))
-    return csv_entries(rows).withColumn("import_method", F.lit("csv"))
+    """SRC-4: every file is read under its own header; files of equal headers are read together."""
+    first = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
+    heads = first.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+    # One row for each file's header line: a folder of wordlists, read on the driver to plan the readers.
+    groups: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").toLocalIterator():
+        groups.setdefault(row["head"].lstrip("\ufeff").rstrip("\r"), []).append(row["file"])
+    if not groups:
+        return spark.createDataFrame([], "file string, surface_form string, normalized_form string, import_method string")
+    parts = [
+        csv_entries(spark.read.csv(files, header=True, multiLine=True, escape='"').withColumn("file", F.col("_metadata.file_path")))
+        for files in groups.values()
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("import_method", F.lit("csv"))
 
 
 def docx_blocks(files: DataFrame) -> DataFrame:
@@ -122,20 +134,17 @@ def pdf_entries(lines: DataFrame) -> DataFrame:
 
 
 def read_wordlists(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-14: one reader per file suffix, results side by side."""
+    """SRC-14: one reader per file suffix in any case, results side by side; other suffixes are refused."""
     root = folder.rstrip("/")
-    # Only the names are read here; at most one row per supported suffix comes back.
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    names = spark.read.format("binaryFile").load(root).select(suffix.alias("suffix")).where(F.col("suffix").isin("txt", "csv", "docx"))
-    found = {r.suffix for r in names.distinct().collect()}
     readers = {"txt": read_txt, "csv": read_csv, "docx": read_docx}
-    parts = [read(spark, f"{root}/*.{name}") for name, read in readers.items() if name in found]
-    if not parts:
-        raise ValueError("no supported wordlist files")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # Only the names are read here; one row per spelling of a suffix comes back.
+    suffix = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    found = sorted(r.suffix for r in spark.read.format("binaryFile").load(root).select(suffix.alias("suffix")).distinct().collect())
+    refused = [s for s in found if s.lower() not in readers]
+    if refused or not found:
+        raise ValueError(f"no reader for wordlist files of type {', '.join(refused) or '(none)'}")
+    parts = [readers[s.lower()](spark, f"{root}/*.{s}") for s in found]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Sentences -------------------------------------------------------------------------

@@ -36,11 +36,15 @@ def deduped(events: DataFrame) -> DataFrame:
     )
 
 
-def stale_jobs(events: DataFrame, minutes: int = STALE_MINUTES) -> DataFrame:
-    """EVT-3: a row for every silence of half an hour after a job's last event, in event time."""
+def stale_jobs(events: DataFrame, minutes: int = STALE_MINUTES, lateness: str = "1 day") -> DataFrame:
+    """EVT-3: a row for every silence of half an hour after a job's last event, in event time.
+
+    Events up to ``lateness`` behind the newest one still count; a silence is reported when
+    that much event time has passed after it.  Later events are dropped by the watermark.
+    """
     quiet = F.session_window("created_at", f"{minutes} minutes")
     return (
-        events.withWatermark("created_at", "1 minute").groupBy(*JOB_KEY, quiet.alias("busy"))
+        events.withWatermark("created_at", lateness).groupBy(*JOB_KEY, quiet.alias("busy"))
         .agg(F.max("created_at").alias("last_progress_at"), F.count("*").alias("events"))
         .select(*JOB_KEY, "last_progress_at", "events", F.col("busy.end").alias("stale_at"))
     )
