@@ -128,8 +128,12 @@ def similar_pairs(
         )
         .distinct()
     )
+    # An edit costs no more than an insert and a delete, so the edit distance obeys the same
+    # bound; it is worked out in the JVM and stops at the bound.
+    most = allowed_edits(F.length("value_left") + F.length("value_right"), threshold)
     return (
         left_keys.join(right_keys, keys)
         .where(F.col("value_left") != F.col("value_right"))
         .select(*scope, "value_left", "value_right").distinct()
+        .withColumn("most", most).where("levenshtein(value_left, value_right, most) >= 0").drop("most")
     )

@@ -16,7 +16,7 @@ BLANK_VALUES = ("", "_", "-")
 def document_tokens(occ: DataFrame) -> DataFrame:
     """MOR-1: words of documents in order, one sequence per page."""
     return occ.select(
-        "owner_id", "document_id", "page_id", F.lit("imported_book").alias("source_type"),
+        "owner_id", "document_id", "page_id", "page_number", F.lit("imported_book").alias("source_type"),
         F.concat(F.lit("page:"), "page_id").alias("sequence_key"),
         F.col("char_start").alias("position"), F.col("token").alias("token_surface"),
         F.col("normalized_token").alias("token_normalized"), "has_armenian", "has_latin", "has_digits",
@@ -175,7 +175,7 @@ def finish_rows(rows: DataFrame, model_key: Column | str) -> DataFrame:
     return rows.withColumn("done", done).select(
         *[c for c in rows.columns if c not in ("reason", "problem", "lemma", "pos", "morph_features", "raw_lemma", "raw_pos", "raw_features")],
         F.when(F.col("done"), F.col("lemma")).alias("lemma"),
-        F.when(F.col("done"), F.lower(F.col("lemma"))).alias("lemma_normalized"),
+        F.when(F.col("done"), tx.normalize_token(F.col("lemma"))).alias("lemma_normalized"),
         F.when(F.col("done"), F.col("pos")).alias("pos"),
         F.when(F.col("done"), F.col("morph_features")).alias("morph_features"),
         (F.lit(model_key) if isinstance(model_key, str) else model_key).alias("model_key"),

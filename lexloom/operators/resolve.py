@@ -71,7 +71,7 @@ def imported_lemmas(entries: DataFrame, sources: DataFrame) -> DataFrame:
         .where(F.col("normalized_lemma") != "")
         .join(active, ["owner_id", "source_id"])
     )
-    return _first(rows, FORM_KEY, "display_name", "surface_form").select(
+    return _first(rows, FORM_KEY, "display_name", "surface_form", "source_id", "entry_id").select(
         *FORM_KEY, "lemma", "normalized_lemma", F.lit("imported_reference").alias("source"), F.lit(0.85).alias("confidence")
     )
 

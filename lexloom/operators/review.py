@@ -127,13 +127,18 @@ def workflow(documents: DataFrame, slices: DataFrame, groups: DataFrame) -> Data
     )
 
 
-def review_queue(rows: DataFrame, activity: str | None = None) -> DataFrame:
-    """REV-8: documents waiting for review; sort by queue_order."""
-    return rows.where(F.col("stage").isin(*QUEUE_STAGES))
+def review_queue(rows: DataFrame, activity: DataFrame | None = None) -> DataFrame:
+    """REV-8: documents waiting for review with their place: most candidates, then latest activity.
 
-
-def queue_order(activity: str = "last_activity_at") -> list[Column]:
-    return [F.desc("candidate_count"), F.desc(activity), F.col("document_id")]
+    ``activity``: document_id, last_activity_at; documents without any come last.
+    """
+    waiting = rows.where(F.col("stage").isin(*QUEUE_STAGES))
+    if activity is None:
+        seen = waiting.withColumn("last_activity_at", F.lit(None).cast("timestamp"))
+    else:
+        seen = waiting.join(activity.groupBy("document_id").agg(F.max("last_activity_at").alias("last_activity_at")), "document_id", "left")
+    order = Window.partitionBy("owner_id").orderBy(F.desc("candidate_count"), F.desc_nulls_last("last_activity_at"), "document_id")
+    return seen.withColumn("place", F.row_number().over(order))
 
 
 def touched_documents(slices: DataFrame, forms: DataFrame) -> DataFrame:

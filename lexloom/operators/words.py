@@ -49,7 +49,7 @@ def book_lemma_items(requests: DataFrame, analyses: DataFrame, documents: DataFr
     done = analyses.where(F.col("analysis_status") == "completed").select(
         "owner_id", F.col("lemma_normalized").alias("query_form"), "document_id", "page_id", F.col("position").alias("char_start"),
         F.col("token_surface").alias("token"), F.col("token_normalized").alias("own_form"), "lemma",
-        F.substring_index("page_id", ":", -1).cast("int").alias("page_number"),
+        "page_number",
         F.pmod(F.xxhash64("page_id", "position"), F.lit(SALTS)).cast("int").alias("salt"),
     )
     hits = _salted(requests).join(done, [*ASK, "salt"])
@@ -159,7 +159,7 @@ def external_status(requests: DataFrame, items: DataFrame, statuses: DataFrame)
     found = items.groupBy(*ASK).agg(F.count("*").alias("n"))
     known = statuses.withColumnRenamed("normalized_form", "query_form")
     return requests.join(found, ASK, "left").join(known, "query_form", "left").select(
-        *ASK, F.when(F.col("n") > 0, "completed").when(F.col("lookup_status") == "no_results", "no_results").otherwise("no_results").alias("external_status"),
+        *ASK, F.when(F.col("n") > 0, "completed").otherwise(F.coalesce("lookup_status", F.lit("unavailable"))).alias("external_status"),
         F.coalesce("n", F.lit(0).cast("bigint")).alias("external_hits"),
     )
 

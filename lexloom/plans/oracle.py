@@ -411,6 +411,10 @@ TABLES.update({
 })
 
 
+#: Evidence tables read one another several times over; each is worked out once.
+SHARED = {*evidence_tables(), *discovery_tables()}
+
+
 def sql(body: str) -> str:
     """``body`` with every common table expression it needs in front, dependencies first."""
     ordered: list[str] = []
@@ -429,4 +433,4 @@ def sql(body: str) -> str:
         return body
     own = re.match(r"\s*WITH\s+", body)
     rest = ",\n" + body[own.end():] if own else "\n" + body
-    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in ordered) + rest
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({TABLES[n]})" for n in ordered) + rest

@@ -91,8 +91,9 @@ def word_external_evidence(w):
     return w.external_items.select("owner_id", "query_form", "provider_key", "source_title", "matched_form", "match_score")
 
 
-@query("WRD-14", f"""SELECT r.owner_id, r.query_form, CASE WHEN count(x.provider_key)>0 THEN 'completed' ELSE 'no_results' END external_status, count(x.provider_key) external_hits
-   FROM {REQ} r LEFT JOIN {EXTERNAL} x ON x.owner_id=r.owner_id AND x.query_form=r.query_form GROUP BY 1,2""")
+@query("WRD-14", f"""SELECT r.owner_id, r.query_form, CASE WHEN count(x.provider_key)>0 THEN 'completed'
+     WHEN NOT coalesce(any_value(c.fresh),false) OR any_value(c.status)='failed' THEN 'unavailable' WHEN any_value(c.results)>0 THEN 'completed' ELSE 'no_results' END external_status, count(x.provider_key) external_hits
+   FROM {REQ} r LEFT JOIN {EXTERNAL} x ON x.owner_id=r.owner_id AND x.query_form=r.query_form LEFT JOIN ecur c ON c.normalized_form=r.query_form GROUP BY 1,2""")
 def word_external_status(w):
     asked = w.requests.select(F.col("query_form").alias("normalized_form"))
     statuses = ex.lookup_status(asked, w.providers, w.external_cache, w.external_results, "normalized", w.now)
@@ -242,10 +243,12 @@ def workflow_stages(w):
     return w.workflow.select("owner_id", "document_id", "stage", "candidate_count", "linked_count", "ignored_count", "suspicious_count", "review_path")
 
 
-@query("REV-8", f"""SELECT owner_id, document_id, candidate_count FROM {FLOW} WHERE stage IN ('ready_for_review','in_review') ORDER BY candidate_count DESC, document_id DESC LIMIT 50""")
+@query("REV-8", f"""SELECT * FROM (SELECT f.owner_id, f.document_id, f.candidate_count, row_number() OVER (PARTITION BY f.owner_id ORDER BY f.candidate_count DESC, a.seen DESC NULLS LAST, f.document_id) place FROM {FLOW} f
+   LEFT JOIN (SELECT document_id, max(coalesce(updated_at, created_at)) seen FROM jb GROUP BY 1) a ON a.document_id=f.document_id WHERE stage IN ('ready_for_review','in_review')) WHERE place<=50""")
 def review_queue(w):
-    rows = rv.review_queue(w.workflow)
-    return rows.orderBy(F.desc("candidate_count"), F.desc("document_id")).limit(50).select("owner_id", "document_id", "candidate_count")
+    """The first fifty of every owner, ties by the latest job of the document."""
+    activity = w.jobs.select("document_id", F.coalesce("updated_at", "created_at").alias("last_activity_at"))
+    return rv.review_queue(w.workflow, activity).where("place <= 50").select("owner_id", "document_id", "candidate_count", *_long("place"))
 
 
 @query("REV-9", "SELECT DISTINCT o.owner_id, o.document_id FROM occ o JOIN review r ON r.owner_id=o.owner_id AND r.normalized_form=o.normalized_token")
