@@ -178,7 +178,8 @@ def replace_document_pages(old: DataFrame, new: DataFrame, pages: DataFrame | No
 def refresh_slices(slices: DataFrame, occ: DataFrame, touched_documents: DataFrame) -> DataFrame:
     """LEX-6/8: recompute only the slices of the touched documents."""
     keys = touched_documents.select("document_id").distinct()
-    fresh = document_slices(occ.join(keys, "document_id", "left_semi"))
+    own = occ.join(keys, "document_id", "left_semi")
+    fresh = document_slices(own) if "sample_tokens" in slices.columns else slice_counts(own)
     return slices.join(keys, "document_id", "left_anti").unionByName(fresh.select(slices.columns))
 
 

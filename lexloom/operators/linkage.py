@@ -268,15 +268,12 @@ def list_entry_results(results: DataFrame, status: str = "all", scope: str = "al
 def entry_result_details(results: DataFrame, occ: DataFrame, documents: DataFrame) -> DataFrame:
     """REF-15: every book occurrence behind an entry result.
 
-    Frequent forms are repeated in many results, so the join is spread over salts.
+    Adaptive execution splits the partitions of forms that many results share.
     """
-    salts = 16
-    rows = occ.withColumn("salt", F.pmod(F.xxhash64("page_id", "char_start"), F.lit(salts)).cast("int")).withColumnRenamed("normalized_token", "normalized_form")
-    keys = results.where("found_in_books").select("run_id", "entry_id", *FORM_KEY).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    rows = occ.withColumnRenamed("normalized_token", "normalized_form")
+    keys = results.where("found_in_books").select("run_id", "entry_id", *FORM_KEY)
     return (
-        keys.join(rows, [*FORM_KEY, "salt"])
+        keys.join(rows, FORM_KEY)
         .join(documents.select("document_id", "title"), "document_id")
         .select("run_id", "entry_id", "document_id", "title", "page_number", "char_start", "context_snippet",
                 pf.document_link(F.col("document_id"), F.col("page_number")).alias("reference_link"))

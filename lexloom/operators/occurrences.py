@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions import text as tx
 
@@ -111,50 +111,42 @@ def backfill_classification(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(missing, v).otherwise(F.col(c)) for c, v in fresh.items()})
 
 
-def assign_lexemes(rows: DataFrame, lexeme_forms: DataFrame, salts: int = 16) -> DataFrame:
+def assign_lexemes(rows: DataFrame, lexeme_forms: DataFrame) -> DataFrame:
     """OCC-3: set lexeme_id on occurrences whose form belongs to a lexeme.
 
-    One frequent form may hold a large share of the fact table, so each form's
-    rows are spread over ``salts`` keys and the small side is repeated as often.
+    One frequent form may hold a large share of the fact table. The side of forms is small
+    and has a form once, so adaptive execution broadcasts it where it fits, and the fact
+    rows stay where they are; else it splits the partition of the frequent form.
     """
-    spread = F.pmod(F.xxhash64("page_id", "char_start"), F.lit(salts)).cast("int")
-    forms = lexeme_forms.select(
-        "owner_id",
-        F.col("normalized_form").alias("normalized_token"),
-        "lexeme_id",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    return (
-        rows.drop("lexeme_id")
-        .withColumn("salt", spread)
-        .join(forms, ["owner_id", "normalized_token", "salt"], "left")
-        .drop("salt")
-    )
+    forms = lexeme_forms.select("owner_id", F.col("normalized_form").alias("normalized_token"), "lexeme_id")
+    return rows.drop("lexeme_id").join(forms, ["owner_id", "normalized_token"], "left")
 
 
 def list_occurrences(
     rows: DataFrame,
-    document_id: str,
+    document_id: str | None = None,
     page_number: int | None = None,
     normalized_token: str | None = None,
     limit: int = 50,
     offset: int = 0,
 ) -> DataFrame:
-    """OCC-4: one document's words in reading order."""
-    out = rows.where(F.col("document_id") == document_id)
-    if page_number is not None:
-        out = out.where(F.col("page_number") == page_number)
-    if normalized_token is not None:
-        out = out.where(F.col("normalized_token") == normalized_token)
-    return out.orderBy("page_number", F.asc_nulls_first("char_start")).offset(offset).limit(limit)
-
-
-def list_pages(pages: DataFrame, document_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """OCC-5: one document's pages in order."""
-    return (
-        pages.where(F.col("document_id") == document_id)
-        .orderBy("page_number").offset(offset).limit(limit)
-    )
+    """OCC-4: a slice of one document's words, or of every document's, in reading order."""
+    out = rows
+    for column, value in (("document_id", document_id), ("page_number", page_number), ("normalized_token", normalized_token)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return _listed(out, ["page_number", F.asc_nulls_first("char_start")], limit, offset)
+
+
+def list_pages(pages: DataFrame, document_id: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """OCC-5: a slice of one document's pages, or of every document's, in order."""
+    out = pages if document_id is None else pages.where(F.col("document_id") == document_id)
+    return _listed(out, ["page_number"], limit, offset)
+
+
+def _listed(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(*order))
+    return rows.withColumn("place", place).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
 
 
 def document_forms(rows: DataFrame) -> DataFrame:

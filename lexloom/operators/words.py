@@ -15,7 +15,6 @@ from lexloom.operators import linkage as lk
 
 FUZZY_THRESHOLD = 85.0
 FUZZY_FORM_LIMIT = 5
-SALTS = 16
 ASK = ["owner_id", "query_form"]
 ITEM = [
     "source_type", "source_id", "source_title", "word_form", "item_form", "matched_form", "page_number", "item_key", "reference_link", "via",
@@ -29,18 +28,13 @@ def _items(rows: DataFrame, **fields) -> DataFrame:
     ])
 
 
-def _salted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def occurrence_key() -> Column:
     return F.concat_ws("@", "page_id", "char_start")
 
 
 def book_items(requests: DataFrame, occ: DataFrame, documents: DataFrame) -> DataFrame:
-    """WRD-1: book occurrences of the form; frequent forms are spread over salts."""
-    rows = occ.withColumn("salt", F.pmod(F.xxhash64("page_id", "char_start"), F.lit(SALTS)).cast("int"))
-    hits = _salted(requests).join(rows.withColumnRenamed("normalized_token", "query_form"), [*ASK, "salt"])
+    """WRD-1: book occurrences of the form; the few requests are broadcast, or frequent forms split, at run time."""
+    hits = requests.join(occ.withColumnRenamed("normalized_token", "query_form"), ASK)
     return _book(hits.withColumn("own_form", F.col("query_form")), documents, F.lit(None).cast("string"), "token")
 
 
@@ -50,9 +44,8 @@ def book_lemma_items(requests: DataFrame, analyses: DataFrame, documents: DataFr
         "owner_id", F.col("lemma_normalized").alias("query_form"), "document_id", "page_id", F.col("position").alias("char_start"),
         F.col("token_surface").alias("token"), F.col("token_normalized").alias("own_form"), "lemma",
         "page_number",
-        F.pmod(F.xxhash64("page_id", "position"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    hits = _salted(requests).join(done, [*ASK, "salt"])
+    hits = requests.join(done, ASK)
     return _book(hits, documents, F.coalesce("lemma", "query_form"), "lemma")
 
 

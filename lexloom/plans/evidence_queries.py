@@ -125,9 +125,10 @@ def morphology_document_summary(w):
     return mo.document_summary(w.analyses)
 
 
-@query("MOR-7", "SELECT owner_id, normalized_form, kind, value, n FROM worddist WHERE value<>''")
+@query("MOR-7", """SELECT owner_id, normalized_form, kind, value, n, row_number() OVER (PARTITION BY owner_id, normalized_form, kind ORDER BY n DESC, value) value_rank
+   FROM worddist WHERE value<>''""")
 def morphology_word_summary(w):
-    return mo.word_distribution(w.analyses)
+    return mo.ranked_distribution(mo.word_distribution(w.analyses)).withColumn("value_rank", F.col("value_rank").cast("bigint"))
 
 
 @query("MOR-7", """SELECT owner_id, normalized_form, count(*) analyzed_occurrence_count, count(*) FILTER (analysis_status='completed') completed_count,
@@ -335,20 +336,25 @@ def candidate_filters(w):
     )
 
 
-@query("DSC-23", """SELECT sort_name, k, document_id, normalized_form FROM (
-   SELECT 'interest_score_desc' sort_name, row_number() OVER (PARTITION BY document_id ORDER BY interest_score DESC, nf) k, document_id, nf normalized_form FROM reviewed WHERE visible
-   UNION ALL SELECT 'occurrence_count_asc', row_number() OVER (PARTITION BY document_id ORDER BY n, nf), document_id, nf FROM reviewed WHERE visible
-   UNION ALL SELECT 'ocr_risk_score_asc', row_number() OVER (PARTITION BY document_id ORDER BY ocr_risk_score, nf), document_id, nf FROM reviewed WHERE visible) WHERE k<=10""")
+#: Sortable columns and their names in the SQL tables.
+ORDERS = {c: {"normalized_form": "nf", "occurrence_count": "n", "page_count": "pages"}.get(c, c) for c in dc.SORTABLE}
+
+
+@query("DSC-23", "SELECT sort_name, k, document_id, normalized_form FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}_{way}' sort_name, row_number() OVER (PARTITION BY document_id ORDER BY {own} {way}, nf) k, document_id, nf normalized_form FROM reviewed WHERE visible"
+    for c, own in ORDERS.items() for way in ("asc", "desc")) + ") WHERE k<=10")
 def candidate_sort_orders(w):
-    """First ten visible candidates of every document in three orders."""
+    """First ten visible candidates of every document in all sixteen orders."""
+    from functools import reduce
+
     from pyspark.sql import Window
 
     shown = dc.visible(w.candidates, w.buckets)
     parts = []
-    for name in ("interest_score_desc", "occurrence_count_asc", "ocr_risk_score_asc"):
+    for name in (f"{c}_{way}" for c in ORDERS for way in ("asc", "desc")):
         order = Window.partitionBy("document_id").orderBy(*dc.candidate_order(name))
         parts.append(shown.withColumn("k", F.row_number().over(order)).where("k <= 10").select(F.lit(name).alias("sort_name"), *_long("k"), "document_id", "normalized_form"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("DSC-25", """SELECT owner_id, document_id, count(*) total_candidates, count(*) FILTER (visible) visible_candidates, count(*) FILTER (NOT visible) suppressed_candidates,
@@ -438,16 +444,41 @@ def known_forms(w):
     return dc.known_forms(w.lexeme_forms, w.reference_entries, w.reference_sources)
 
 
-@query("CUR-9", """SELECT c.document_id, c.nf normalized_form, CASE WHEN visible THEN 'reviewed' ELSE review_status END review_status,
-   CASE WHEN visible THEN 'ignore' WHEN review_status='reviewed' THEN 'mark_known' END reviewer_decision FROM reviewed c""")
+DECIDED = """(SELECT c.*, ['mark_interesting','mark_known','mark_ocr_noise','mark_uncertain','mark_poorly_defined','create_lexeme','link_lexeme','ignore'][length(nf)%8+1] d, m.lexeme_id some_id, f.lexeme_id holder
+   FROM reviewed c LEFT JOIN (SELECT owner_id, min(lexeme_id) lexeme_id FROM lexeme GROUP BY 1) m ON m.owner_id=c.owner_id LEFT JOIN lexform f ON f.owner_id=c.owner_id AND f.normalized_form=c.nf)"""
+
+
+def _decisions(w):
+    """A reviewer takes every visible candidate, by the length of the form; links go to the owner's first lexeme."""
+    from lexloom.operators import curation as cu
+
+    some = w.lexemes.groupBy("owner_id").agg(F.min("lexeme_id").alias("some_id"))
+    decision = F.element_at(F.array(*map(F.lit, cu.DECISIONS)), (F.length("normalized_form") % 8 + 1).cast("int"))
+    return dc.visible(w.candidates, w.buckets).join(some, "owner_id", "left").select(
+        "document_id", "normalized_form", decision.alias("decision"), F.lit("seen").alias("note"), F.when(decision == "link_lexeme", F.col("some_id")).alias("lexeme_id")
+    )
+
+
+@query("CUR-9", f"""SELECT document_id, nf normalized_form, CASE WHEN visible AND (d<>'link_lexeme' OR some_id IS NOT NULL) THEN 'reviewed' ELSE review_status END review_status,
+   CASE WHEN visible AND (d<>'link_lexeme' OR some_id IS NOT NULL) THEN d WHEN review_status='reviewed' THEN 'mark_known' END reviewer_decision,
+   CASE WHEN visible AND d='create_lexeme' THEN coalesce(holder, 'new') WHEN visible AND d='link_lexeme' THEN coalesce(some_id, linked) ELSE linked END linked_to FROM {DECIDED}""")
 def recorded_decisions(w):
-    """A reviewer ignores every visible candidate."""
+    """All eight decisions; a created lexeme is the holder of the form or a new one."""
     from lexloom.operators import curation as cu
 
-    shown = dc.visible(w.candidates, w.buckets).select(
-        "document_id", "normalized_form", F.lit("ignore").alias("decision"), F.lit("not a word").alias("note"), F.lit(None).cast("string").alias("lexeme_id")
+    out = cu.record_decisions(w.candidates, _decisions(w), w.lexemes, w.lexeme_forms)
+    made = cu.decided_lexemes(w.candidates, _decisions(w), w.lexeme_forms)[1].select(F.col("lexeme_id").alias("linked_lexeme_id"), F.lit("new").alias("new"))
+    return out.join(made, "linked_lexeme_id", "left").select(
+        "document_id", "normalized_form", "review_status", "reviewer_decision", F.coalesce("new", "linked_lexeme_id").alias("linked_to")
     )
-    return cu.record_decisions(w.candidates, shown, w.lexemes, w.lexeme_forms).select("document_id", "normalized_form", "review_status", "reviewer_decision")
+
+
+@query("CUR-9", f"SELECT DISTINCT owner_id, nf normalized_form, nf canonical_form, 'draft' status FROM {DECIDED} WHERE visible AND d='create_lexeme' AND holder IS NULL")
+def decided_lexemes(w):
+    from lexloom.operators import curation as cu
+
+    rows, forms = cu.decided_lexemes(w.candidates, _decisions(w), w.lexeme_forms)
+    return rows.join(forms, ["owner_id", "lexeme_id"]).select("owner_id", "normalized_form", "canonical_form", "status")
 
 
 @query("SCL-14 SCL-15 SCL-17", """SELECT document_id, language_stage profile, CASE language_stage WHEN 'western' THEN 1.0 WHEN 'unknown' THEN 1.0 WHEN 'eastern' THEN 0.7 ELSE 0.55 END::DOUBLE corpus_weight,

@@ -105,9 +105,16 @@ def classification_backfill(w):
     )
 
 
-@query("OCC-4", """SELECT document_id, page_number::BIGINT page_number, char_start::BIGINT char_start, token,
-   row_number() OVER (PARTITION BY document_id ORDER BY page_number, char_start) AS reading_position FROM occ""")
+@query("OCC-4", """SELECT * FROM (SELECT document_id, page_number::BIGINT page_number, char_start::BIGINT char_start, token,
+   row_number() OVER (PARTITION BY document_id ORDER BY page_number, char_start) place FROM occ) WHERE place BETWEEN 51 AND 100""")
 def occurrence_listing(w):
+    """The second fifty words of every document."""
+    return oc.list_occurrences(w.occ, limit=50, offset=50).select("document_id", *_long("page_number", "char_start"), "token", *_long("place"))
+
+
+@query("OCC-1", """SELECT document_id, page_number::BIGINT page_number, char_start::BIGINT char_start, token,
+   row_number() OVER (PARTITION BY document_id ORDER BY page_number, char_start) AS reading_position FROM occ""")
+def reading_positions(w):
     """Words of every document in reading order, numbered page by page."""
     rows = w.occ.select("document_id", "page_number", "char_start", "token")
     return numbered(rows, ["document_id"], "page_number", ["char_start"], "reading_position").select(
@@ -115,9 +122,10 @@ def occurrence_listing(w):
     )
 
 
-@query("OCC-5", "SELECT document_id, page_id, page_number::BIGINT page_number, length(page_text)::BIGINT char_count FROM page")
+@query("OCC-5", """SELECT * EXCLUDE (k) FROM (SELECT document_id, page_id, page_number::BIGINT page_number, length(page_text)::BIGINT char_count,
+   row_number() OVER (PARTITION BY document_id ORDER BY page_number) k FROM page) WHERE k<=50""")
 def page_listing(w):
-    return w.pages.select("document_id", "page_id", *_long("page_number"), F.length("page_text").cast("bigint").alias("char_count"))
+    return oc.list_pages(w.pages).select("document_id", "page_id", *_long("page_number"), F.length("page_text").cast("bigint").alias("char_count"))
 
 
 @query("OCC-6", "SELECT DISTINCT owner_id, document_id, normalized_token normalized_form FROM occ")

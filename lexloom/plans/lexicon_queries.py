@@ -168,17 +168,14 @@ def group_rollup_samples(w):
 LAST_PAGES = "(SELECT document_id, max(page_number) page_number FROM page GROUP BY 1)"
 
 
-@query("LEX-6 LEX-8 SNK-4", "SELECT * FROM slice")
+@query("LEX-6 LEX-8", "SELECT * FROM slice")
 def incremental_index(w):
     """Index without every document's last page, then the last pages as a delta."""
     last = w.pages.groupBy("document_id").agg(F.max("page_number").alias("page_number"))
     base = w.occ.join(last, ["document_id", "page_number"], "left_anti")
     delta = w.occ.join(last, ["document_id", "page_number"], "left_semi")
-    merged = lx.replace_document_pages(base, delta)
-    touched = delta.select("document_id").distinct()
-    old = lx.slice_counts(base)
-    fresh = lx.slice_counts(merged.join(touched, "document_id", "left_semi"))
-    return old.join(touched, "document_id", "left_anti").select(fresh.columns).unionByName(fresh).drop(*lx.FLAGS)
+    merged = lx.replace_document_pages(base, delta, w.pages.join(last, ["document_id", "page_number"], "left_semi"))
+    return lx.refresh_slices(lx.slice_counts(base), merged, delta).drop(*lx.FLAGS)
 
 
 @query("LEX-7 LEX-8", """SELECT owner_id, normalized_token normalized_form, count(*) occurrence_count, count(DISTINCT document_id) document_count, count(DISTINCT page_id) page_count

@@ -23,7 +23,7 @@ def txt_wordlist(w):
     """Every line of every document as a text file of entries."""
     folder = _folder(w, "txt_in")
     w.table("documents").select(F.explode(F.split("text", "\n")).alias("value")).write.text(folder)
-    return fl.read_txt(w.spark, folder).select("surface_form", "normalized_form").distinct()
+    return fl.read_wordlists(w.spark, folder).select("surface_form", "normalized_form").distinct()
 
 
 @query("SCL-11", r"""WITH b AS (SELECT trim(line) v FROM (SELECT unnest(string_split(text, chr(10))) line FROM documents) WHERE trim(line)<>'' AND length(trim(line))<=120 AND NOT regexp_full_match(trim(line), '[^\p{L}\p{N}]+')),
