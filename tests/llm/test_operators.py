@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import public_tokenizers as tokenizers
-from conftest import BODY, LINE, rows
+from llm_rows import BODY, LINE, rows
 
 from check_queries import TABLES, rows_of
 from lexloom import session
