@@ -26,13 +26,12 @@ whatever their texts; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom import session
@@ -254,35 +253,31 @@ def _repeats_of(some: np.ndarray, stretch: np.ndarray, low: np.ndarray, high: np
     return rows
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer held; what is kept lies in written tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _id(key: str):
     return F.coalesce(F.col(key).cast("long"), F.lit(LAST))
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """t1, t2 (hashes of the text), start, length, least: the maximal repeats of every text that reach a smaller id."""
-    spark = docs.sparkSession
-    ar.small_batches(spark)
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", used: list[DataFrame] | None = None) -> DataFrame:
+    """t1, t2 (hashes of the text), start, length, least: the maximal repeats of every text that reach a smaller id.
+
+    ``used`` gets the written tables that the result reads; those of the steps before are deleted.
+    """
+    ar.small_batches(docs.sparkSession)
     rows = docs.select(_id(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), F.col(text)).alias("t2"))
     dealt = rows.select("t1", "text").mapInArrow(_dealt, "h long, t1 long, part short")
     alive = session.save(_spread(dealt).mapInArrow(_surviving, "h long, t1 long").groupBy("t1").agg(F.collect_list("h").alias("hs")), "repeat-anchors")
-    release(spark)
     firsts = rows.groupBy("t1", "t2").agg(F.min("id").alias("m"))
     held = alive.join(firsts, "t1").select("hs", "t1", "t2", F.col("m").alias("id"))
     texts = rows.join(held, ["t1", "t2", "id"]).select("text", "hs", "t1", "t2", F.col("id").alias("m"))
-    found = session.save(texts.mapInArrow(_stretches, "t1 long, t2 long, m long, at long, h long, stretch binary"), "repeat-stretches").distinct()
-    release(spark)
+    found = session.save(texts.mapInArrow(_stretches, "t1 long, t2 long, m long, at long, h long, stretch binary"), "repeat-stretches")
+    session.discard(alive)
     c = F.xxhash64("stretch")
     kinds = found.groupBy("h", "stretch").agg(F.min("m").alias("low"), F.max("m").alias("high"))
     kinds = session.save(kinds.select("h", c.alias("c"), "stretch", "low", "high"), "repeat-kinds")
-    release(spark)
     reach = session.save(kinds.repartition("h").sortWithinPartitions("h").mapInArrow(_reach, "h long, c long, off long, len long, low long"), "repeat-reach")
-    release(spark)
+    session.discard(kinds)
+    if used is not None:
+        used += [found, reach]
     where = found.select("t1", "t2", "m", "at", "h", c.alias("c"))
     return where.join(reach, ["h", "c"]).where("low < m").select("t1", "t2", (F.col("at") + F.col("off")).alias("start"), F.col("len").alias("length"), F.col("low").alias("least"))
 
@@ -305,9 +300,10 @@ def _union(starts: list[int], lengths: list[int]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, spans (removed runs: start, end), n_removed, n_spans, kept (bytes) of every row."""
     rows = docs.select(F.col(key).alias("k"), _id(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), F.col(text)).alias("t2"))
-    runs = repeats(docs, key, text).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "length")).alias("runs"))
+    used: list[DataFrame] = []
+    runs = repeats(docs, key, text, used).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "length")).alias("runs"))
     runs = session.save(runs, "repeat-runs")
-    release(docs.sparkSession)
+    session.discard(*used)
     firsts = rows.groupBy("t1", "t2").agg(F.min("id").alias("m"))
     facts = firsts.join(runs, ["t1", "t2"], "left")
     held = rows.join(facts, ["t1", "t2"]).select("k", F.coalesce("text", F.lit("")).cast("binary").alias("text"), (F.col("id") > F.col("m")).alias("copy"), F.col("runs.start").alias("starts"), F.col("runs.length").alias("lengths"))
