@@ -15,6 +15,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session.tune(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+#: Most ids (16 bytes each) that a query broadcasts; beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
+
+
 def _vocabulary(name: str) -> str:
     """Path of a public tokenizer's file; the package is installed on every machine."""
     import public_tokenizers
@@ -57,7 +61,9 @@ def op3_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
         return tr.count_tokens(rows, versions, public_tokenizers.PATTERN).select("*", F.lit(op).alias("op"), F.lit(0).alias("seq"))
 
     def labelled(rule: str) -> DataFrame:
-        return labels.where(rule).select("doc_id").distinct()
+        """Ids of labelled documents: broadcast while they are few, so that texts aren't shuffled to pick some."""
+        ids = labels.where(rule).select("doc_id").distinct()
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     store.apply(1, counted(docs, "insert"))
     toxic = docs.join(labelled("toxic = 1"), "doc_id").select(tr.document_key().alias("doc_key"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"))
