@@ -12,7 +12,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lines that state a copyright, in lower case.
@@ -83,31 +83,35 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The form in which equal licences are equal; empty for null."""
+def with_digest(rows: DataFrame, text: str, name: str = "digest") -> DataFrame:
+    """Adds the SHA-256 of the text's canonical form, in which equal licences are equal; null is empty.
+
+    A blank on both sides of every word lets plain replacements act on whole words. They are
+    run only on texts that hold one of the spellings.
+    """
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
-    # A blank on both sides of every word lets plain replacements act on whole words.
     spaced = F.concat(F.lit(" "), F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-    for spelling, common in SPELLINGS:
-        spaced = F.replace(spaced, F.lit(f" {spelling} "), F.lit(f" {common} "))
-    return F.trim(F.regexp_replace(spaced, " +", " "))
-
-
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    common = F.col(name)
+    for spelling, usual in SPELLINGS:
+        common = F.replace(common, F.lit(f" {spelling} "), F.lit(f" {usual} "))
+    odd = F.col(name).rlike(" (?:" + "|".join(s for s, _ in SPELLINGS) + ") ")
+    rows = rows.withColumn(name, spaced)
+    rows = rows.withColumn(name, F.when(odd, common).otherwise(F.col(name)))
+    return rows.withColumn(name, F.sha2(F.trim(F.regexp_replace(name, " +", " ")), 256))
 
 
 def catalogue(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest and licence of every known text."""
+    """digest and licence of every known text; texts without a letter or digit are left out."""
     rows = spark.createDataFrame(known if known is not None else KNOWN, "licence string, text string")
-    return rows.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
+    rows = rows.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    return with_digest(rows, "text").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, digest, licence (of the whole text, or null), n_notices and notices (licences of its lines, sorted)."""
     name = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), F.col(text)).alias("t2")]
-    rows = docs.select(F.col(key), *name, digest(F.col(text)).alias("digest"))
-    lines = docs.select(*name, F.posexplode(F.split(text, "\n")).alias("at", "line")).select("t1", "t2", "at", digest(F.col("line")).alias("digest"))
+    rows = with_digest(docs.select(F.col(key), *name, F.col(text).alias("text")), "text").select(key, "t1", "t2", "digest")
+    lines = with_digest(docs.select(*name, F.posexplode(F.split(text, "\n")).alias("at", "line")), "line").select("t1", "t2", "at", "digest")
     # Equal texts have equal lines: distinct before the count.
     hits = lines.join(known, "digest").select("t1", "t2", "at", "licence").distinct()
     notices = hits.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("notices"))
