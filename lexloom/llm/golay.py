@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from lexloom import session
 from lexloom.llm import arrays as ar
+from lexloom.llm import shingle_join
 from lexloom.llm.components import components
 
 RADIUS = 3
@@ -224,17 +225,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each class, with all its columns: the row of the smallest key, null last.
 
+    Classes are those of near fingerprints or, where ``similarity`` is given, of word shingles
+    with that Jaccard similarity (exact, see ``shingle_join``; Golay keys reach three bits only).
     Where rows of a class share that key the smallest hash of key and text decides; of rows
     equal in both, one stays.
     """
     k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
     keyed = docs.withColumns({k1: F.xxhash64(key, text), k2: F.xxhash64(F.lit(7), F.col(key), F.col(text))})
     slim = keyed.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(k1).alias("k1"), F.col(k2).alias("k2")).alias("row"), F.col(text).alias("text"))
-    marks = session.save(fingerprints(slim, "row", "text", words).select("row", "row.id", "print"), "simhash")
-    held = marks.join(_classes_of(marks, "id").select("print", "class"), "print")
+    made = fingerprints(slim, "row", "text", words) if similarity is None else shingle_join.marks(slim, "row", "text", words)
+    marks = session.save(made.select("row", "row.id", "print"), "simhash")
+    found = _classes_of(marks, "id").select("print", "class") if similarity is None else shingle_join.classes(slim, marks, "row", "text", words, similarity)
+    held = marks.join(found, "print")
     leads = held.groupBy("class").agg(F.min("row").alias("lead"))
     judged = held.join(leads, "class").select(F.col("row.k1").alias(k1), F.col("row.k2").alias(k2), (F.col("row") == F.col("lead")).alias("leads"))
     rest = keyed.join(judged.where("not leads").select(k1, k2).distinct(), [k1, k2], "left_anti")
