@@ -81,6 +81,35 @@ def match_run_totals(w):
     return lk.run_stats(lk.internal_to_reference(w.targets, w.catalog, allow_fuzzy=False))
 
 
+# The same runs with fuzzy matches on; the three queries without them keep their SQL.
+FUZZY_RUN = f"""SELECT t.*, CASE WHEN m.n>0 THEN 'matched' ELSE 'unmatched' END match_status, coalesce(m.n, 0) match_count, m.best_type best_match_type,
+   m.best_score best_match_score, m.best_source best_source_display_name, m.best_form best_matched_form
+   FROM (SELECT DISTINCT owner_id, target_type, target_key, target_label FROM target) t
+   LEFT JOIN (SELECT owner_id, target_type, target_key, n, best_type, NULL::DOUBLE best_score, best_source, best_form FROM dsum
+     UNION ALL SELECT owner_id, target_type, target_key, count(*), 'fuzzy', max(match_score),
+       arg_min(display_name, (-match_score, display_name, surface_form, entry_id)), arg_min(surface_form, (-match_score, display_name, surface_form, entry_id))
+     FROM (SELECT f.*, c.display_name FROM ({FUZZY}) f JOIN cat c ON c.owner_id=f.owner_id AND c.entry_id=f.entry_id) GROUP BY 1,2,3) m USING (owner_id, target_type, target_key)"""
+
+
+@query("REF-8 REF-5", FUZZY_RUN)
+def internal_to_reference_fuzzy(w):
+    return lk.internal_to_reference(w.targets, w.catalog)
+
+
+@query("REF-8 REF-5", f"""SELECT owner_id, target_type, count(*) total_items, count(*) FILTER (match_status='matched') matched_items,
+   count(*) FILTER (match_status='unmatched') unmatched_items, count(*) FILTER (best_match_type='exact') exact_match_count,
+   count(*) FILTER (best_match_type='normalized') normalized_match_count, count(*) FILTER (best_match_type='fuzzy') fuzzy_match_count FROM ({FUZZY_RUN}) GROUP BY 1,2""")
+def match_run_totals_fuzzy(w):
+    return lk.run_stats(lk.internal_to_reference(w.targets, w.catalog))
+
+
+@query("REF-13 REF-5", f"""SELECT owner_id, target_key, target_label FROM ({FUZZY_RUN})
+   WHERE match_status='unmatched' AND target_type='lexicon_group' AND contains(target_label, 'եղ')""")
+def unmatched_target_results_fuzzy(w):
+    rows = lk.internal_to_reference(w.targets, w.catalog)
+    return lk.list_target_results(rows, "unmatched", "lexicon_group", "եղ").select("owner_id", "target_key", "target_label")
+
+
 RESULT = """owner_id, source_id, run_id, entry_id, target_label, match_status, match_count::BIGINT match_count, exists_in_lexicon, found_in_books,
    matching_lexeme_count::BIGINT matching_lexeme_count, best_lexeme_id, best_document_id, best_document_title, best_page_number::BIGINT best_page_number, best_context_snippet"""
 RESULT_COLS = ["owner_id", "source_id", "run_id", "entry_id", "target_label", "match_status", "match_count", "exists_in_lexicon", "found_in_books",
