@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom import session
-from lexloom.llm import licences, line_spread, repetition
+from lexloom.llm import licences, line_spread, phrases, repetition
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -130,11 +130,40 @@ def op10_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_nb_svm(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    from lexloom.llm.quality_model import classify
+
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest repair and its digest of every conversation, after a fixed damage."""
+    from lexloom.llm import turn_repair as tr
+
+    rows = table(spark, folder, "conversations")
+    placed = session.save(tr.ordered(tr.damaged(rows)), "turns")
+    facts = tr.facts_of(placed)
+    sums = tr.digests(placed, facts).withColumnRenamed("c", "d")
+    whole = facts.join(sums, F.col("c").eqNullSafe(F.col("d")))
+    ids = rows.select("conv_id").distinct()
+    got = ids.join(whole, ids["conv_id"].eqNullSafe(whole["c"]), "left")
+    numbers = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return got.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of every language."""
+    from lexloom.llm.phrases import collocations
+
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_line_spread, op3_token_rollups, op4_pareto_mix, op5_repetition, op6_maximal_repeats, op7_licence_digests, op8_simhash_windows, op9_golay_simhash,
-        op10_sampled_splitters,
+        op10_sampled_splitters, op11_nb_svm, op12_turn_repair, op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {"op2_line_spread": line_spread.SQL, "op5_repetition": repetition.sql(), "op7_licence_digests": licences.sql()}
+ORACLES: dict[str, str] = {"op2_line_spread": line_spread.SQL, "op5_repetition": repetition.sql(), "op7_licence_digests": licences.sql(), "op13_collocations": phrases.SQL}
