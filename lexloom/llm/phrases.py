@@ -42,9 +42,9 @@ FILTER_BITS = 27
 #: Text bytes a hash partition stands for, and the fewest and most partitions.
 SLOT_BYTES, FEWEST_SLOTS, MOST_SLOTS = 1 << 24, 64, 1 << 20
 #: N-grams that a task gathers before it counts them, and counters it holds before it hands them on.
-GATHERED, HELD = 1 << 22, 1 << 22
+GATHERED, HELD = 1 << 20, 1 << 21
 #: Distinct n-grams that a task holds in the exact count before it hands them on.
-COUNTED = 400_000
+COUNTED = 150_000
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _CUT = np.zeros(256, bool)
@@ -124,13 +124,13 @@ def census(docs: DataFrame, slots: int, longest: int = LONGEST) -> DataFrame:
     """Rows (what, lang, key, n), summed a task: words by key, mass by hash partition, words by language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass, totals = np.zeros(slots, np.int64), {}
-        parts, rows = [], 0
+        held, parts, rows = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
 
-        def words() -> Iterator[pa.RecordBatch]:
-            nonlocal parts, rows
+        def gathered() -> None:
+            nonlocal held, parts, rows
             if parts:
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield out("word", None, keys.view(np.int64), n)
+                held = _merged(np.concatenate([held[0], keys]), np.concatenate([held[1], n]))
             parts, rows = [], 0
 
         def out(what: str, lang, keys, n) -> pa.RecordBatch:
@@ -147,8 +147,12 @@ def census(docs: DataFrame, slots: int, longest: int = LONGEST) -> DataFrame:
             parts.append(chunk.keys)
             rows += len(chunk.keys)
             if rows >= GATHERED:
-                yield from words()
-        yield from words()
+                gathered()
+                if len(held[0]) >= HELD:
+                    yield out("word", None, held[0].view(np.int64), held[1])
+                    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        gathered()
+        yield out("word", None, held[0].view(np.int64), held[1])
         some = np.flatnonzero(mass)
         yield out("mass", None, some, mass[some])
         yield out("lang", list(totals), [0] * len(totals), list(totals.values()))
