@@ -136,7 +136,7 @@ def census(docs: DataFrame, slots: int, longest: int = LONGEST) -> DataFrame:
         def out(what: str, lang, keys, n) -> pa.RecordBatch:
             size = len(keys)
             return pa.RecordBatch.from_arrays(
-                [pa.array([what] * size), pa.array(lang or [None] * size, pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["what", "lang", "key", "n"]
+                [pa.array([what] * size, pa.string()), pa.array(lang or [None] * size, pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["what", "lang", "key", "n"]
             )
 
         for chunk in _chunks(batches):
