@@ -1,17 +1,18 @@
 """Phrase collocation mining: Misra-Gries summaries per hash partition, then exact counts.
 
 A phrase is a run of two to five words of one piece of text. An n-gram is known by a 64-bit hash
-of its language and words; the top bits of the hash name its hash partition. Three passes over
+of its language and words; the top bits of the hash name its hash partition. Four passes over
 the texts:
 
 1. Words are counted by hash, and the mass (number of n-grams) of every hash partition is taken.
-2. Every task keeps one Misra-Gries summary a hash partition, of n-grams whose words are all
+2. Every task keeps one Misra-Gries summary a hash partition, of pairs whose words are both
    frequent. A summary over capacity loses its smallest counters and as much from all others.
    Capacity exceeds the partition's mass divided by the threshold, so that what a key can lose in
    all summaries together stays below the threshold. Summaries are mergeable: tasks may put
    out several, and one task a partition merges them. A key survives when its counter and all
-   that was lost reach the threshold: every frequent n-gram does.
-3. N-grams that survived are counted exactly, by their words.
+   that was lost reach the threshold: every frequent pair does.
+3. The same for longer n-grams all of whose pairs survived.
+4. N-grams that survived are counted exactly, by their words.
 
 What survives is handed to the tasks as a bit per hash bucket, in a table of fixed size
 (``FILTER_BITS``), whatever the input: buckets shared by several keys let more n-grams into the
@@ -42,7 +43,7 @@ FILTER_BITS = 27
 #: Text bytes a hash partition stands for, and the fewest and most partitions.
 SLOT_BYTES, FEWEST_SLOTS, MOST_SLOTS = 1 << 24, 64, 1 << 20
 #: N-grams that a task gathers before it counts them, and counters it holds before it hands them on.
-GATHERED, HELD = 1 << 20, 1 << 21
+GATHERED, HELD = 1 << 19, 1 << 20
 #: Distinct n-grams that a task holds in the exact count before it hands them on.
 COUNTED = 150_000
 
@@ -69,8 +70,11 @@ class Chunk:
         self.joined = (self.rows[1:] == self.rows[:-1]) & (pieces[after] == pieces[self.ends[:-1] - 1]) if len(self.keys) else np.zeros(0, bool)
         self.langs = langs
 
-    def ngrams(self, longest: int, words: np.ndarray | None = None, keep=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """n, first words and keys of n-grams of 2 words and more; all words in ``words``, all beginnings in ``keep``."""
+    def ngrams(self, longest: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None, keep=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """n, first words and keys of n-grams of 2 words and more.
+
+        All their words are in ``words``, all their pairs in ``pairs``, all their beginnings in ``keep``.
+        """
         at, keys = np.arange(len(self.keys)), self.keys
         if words is not None:
             at, keys = at[words], keys[words]
@@ -80,6 +84,8 @@ class Chunk:
             on = self.joined[at + n - 2]
             if words is not None:
                 on = on & words[at + n - 1]
+            if pairs is not None:
+                on = on & pairs[at + n - 2]
             at, keys = at[on], keys[on]
             with np.errstate(over="ignore"):
                 keys = ar.mix(keys * _ODD + self.keys[at + n - 1] + np.uint64(n))
@@ -88,6 +94,13 @@ class Chunk:
                 at, keys = at[held], keys[held]
             yield n, at, keys
 
+    def pairs_in(self, words: np.ndarray, likely) -> np.ndarray:
+        """Whether the pair that begins at a word survived."""
+        out = np.zeros(len(self.keys), bool)
+        for _, at, keys in self.ngrams(2, words):
+            out[at[likely(keys)]] = True
+        return out
+
     def phrase(self, at: int, n: int) -> str:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at:at + n], self.ends[at:at + n])).decode()
 
@@ -121,49 +134,48 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def census(docs: DataFrame, slots: int, longest: int = LONGEST) -> DataFrame:
-    """Rows (what, lang, key, n), summed a task: words by key, mass by hash partition, words by language."""
+    """Sums of every task: word counters as summaries, mass of pairs and of longer n-grams by slot, words by language."""
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+
+    def rows_of(*columns) -> pa.RecordBatch:
+        size = max(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.array([None] * size if c is None else c, t) for c, t in zip(columns, types)], ["slot", "keys", "counts", "lost", "longer", "lang", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, totals = np.zeros(slots, np.int64), {}
-        held, parts, rows = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
-
-        def gathered() -> None:
-            nonlocal held, parts, rows
-            if parts:
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                held = _merged(np.concatenate([held[0], keys]), np.concatenate([held[1], n]))
-            parts, rows = [], 0
-
-        def out(what: str, lang, keys, n) -> pa.RecordBatch:
-            size = len(keys)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([what] * size, pa.string()), pa.array(lang or [None] * size, pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["what", "lang", "key", "n"]
-            )
+        mass, totals = np.zeros((2, slots), np.int64), {}
+        held, parts, rows = Summary(slots, None), [], 0
+
+        def words() -> pa.RecordBatch:
+            got = held.out()
+            held.clear()
+            return rows_of(*(got.column(c) for c in ("slot", "keys", "counts", "lost")), None, None, None)
 
         for chunk in _chunks(batches):
-            for _, _, keys in chunk.ngrams(longest):
-                mass += np.bincount(slot_of(keys, slots), minlength=slots)
+            for n, _, keys in chunk.ngrams(longest):
+                mass[int(n > 2)] += np.bincount(slot_of(keys, slots), minlength=slots)
             for row, n in enumerate(np.bincount(chunk.rows, minlength=len(chunk.langs)).tolist()):
                 totals[chunk.langs[row]] = totals.get(chunk.langs[row], 0) + n
             parts.append(chunk.keys)
             rows += len(chunk.keys)
             if rows >= GATHERED:
-                gathered()
-                if len(held[0]) >= HELD:
-                    yield out("word", None, held[0].view(np.int64), held[1])
-                    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        gathered()
-        yield out("word", None, held[0].view(np.int64), held[1])
-        some = np.flatnonzero(mass)
-        yield out("mass", None, some, mass[some])
-        yield out("lang", list(totals), [0] * len(totals), list(totals.values()))
+                held.gather(parts)
+                parts, rows = [], 0
+                if len(held.keys) >= HELD:
+                    yield words()
+        held.gather(parts)
+        yield words()
+        for longer in (0, 1):
+            some = np.flatnonzero(mass[longer])
+            yield rows_of(some, None, None, None, np.full(len(some), longer), None, mass[longer][some])
+        yield rows_of(None, None, None, None, None, list(totals), list(totals.values()))
 
-    return _texts(docs).mapInArrow(run, "what string, lang string, key long, n long")
+    return _texts(docs).mapInArrow(run, "slot long, keys binary, counts binary, lost long, longer long, lang string, n long")
 
 
 class Summary:
-    """Misra-Gries summaries of one or all hash partitions, with what each may have lost."""
+    """Misra-Gries summaries of one or all hash partitions, with what each may have lost; without a capacity, plain counts."""
 
-    def __init__(self, slots: int, capacity: np.ndarray):
+    def __init__(self, slots: int, capacity: np.ndarray | None):
         self.slots, self.capacity = slots, capacity
         self.clear()
 
@@ -173,6 +185,8 @@ class Summary:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Add sorted or unsorted counters, then shrink every partition that is over capacity."""
         self.keys, self.counts = _merged(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
+        if self.capacity is None or len(self.keys) <= self.capacity.min():
+            return
         bounds = np.searchsorted(slot_of(self.keys, self.slots), np.arange(self.slots + 1))
         over = np.flatnonzero(np.diff(bounds) > self.capacity)
         for slot in over.tolist():
@@ -184,6 +198,11 @@ class Summary:
             held = self.counts > 0
             self.keys, self.counts = self.keys[held], self.counts[held]
 
+    def gather(self, parts: list[np.ndarray]) -> None:
+        """Count keys and add them."""
+        if parts:
+            self.add(*np.unique(np.concatenate(parts), return_counts=True))
+
     def out(self) -> pa.RecordBatch:
         """One row a hash partition: slot, keys, counts, lost."""
         bounds = np.searchsorted(slot_of(self.keys, self.slots), np.arange(self.slots + 1))
@@ -220,64 +239,35 @@ class Filter:
         return (self.bits[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def word_filter(counts: DataFrame, slots: int, threshold: int, bits: int = FILTER_BITS) -> Filter:
-    """Filter of the words of ``census`` that reach the threshold."""
-    shift = 65 - slots.bit_length()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            slot, keys = batch.column("slot").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
-            cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])).tolist()
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                if slot[low] != now:
-                    yield from out(now, parts)
-                    now, parts = int(slot[low]), []
-                parts.append(keys[low:high])
-        yield from out(now, parts)
-
-    def out(slot, parts) -> Iterator[pa.RecordBatch]:
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([Filter.segment(np.concatenate(parts), slots, bits)], pa.binary())], ["slot", "bits"])
-
-    often = counts.where("what = 'word'").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
-    by = often.select(F.shiftrightunsigned("key", shift).alias("slot"), "key").repartition("slot").sortWithinPartitions("slot")
-    return Filter.of(by.mapInArrow(run, "slot long, bits binary"), slots, bits)
-
-
-def capacities(counts: DataFrame, slots: int, threshold: int) -> np.ndarray:
-    """Counters of every hash partition: more than its mass divided by the threshold."""
+def capacities(counts: DataFrame, slots: int, threshold: int, longer: int) -> np.ndarray:
+    """Counters of every hash partition: more than its mass (of pairs or of longer n-grams) divided by the threshold."""
     got = np.zeros(slots, np.int64)
-    for slot, n in counts.where("what = 'mass'").groupBy("key").agg(F.sum("n")).toLocalIterator():
+    for slot, n in counts.where(F.col("longer") == longer).groupBy("slot").agg(F.sum("n")).toLocalIterator():
         got[slot] = n
     return got // threshold + 1
 
 
-def summaries(docs: DataFrame, words, capacity, slots: int, longest: int = LONGEST) -> DataFrame:
-    """(slot, keys, counts, lost) of every task: Misra-Gries summaries of n-grams of frequent words.
+def summaries(docs: DataFrame, words, capacity, slots: int, likely=None, longest: int = LONGEST) -> DataFrame:
+    """(slot, keys, counts, lost) of every task: Misra-Gries summaries of pairs of frequent words.
 
-    ``words`` and ``capacity`` are broadcast values.
+    With ``likely`` pairs, of longer n-grams. ``words``, ``capacity`` and ``likely`` are broadcast values.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, rows = Summary(slots, capacity.value), [], 0
-
-        def gathered() -> None:
-            nonlocal parts, rows
-            if parts:
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                held.add(keys, counts)
-            parts, rows = [], 0
-
         for chunk in _chunks(batches):
-            for _, _, keys in chunk.ngrams(longest, words.value(chunk.keys)):
-                parts.append(keys)
-                rows += len(keys)
+            often = words.value(chunk.keys)
+            pairs = None if likely is None else chunk.pairs_in(often, likely.value)
+            for n, _, keys in chunk.ngrams(2 if likely is None else longest, often, pairs):
+                if (n == 2) == (likely is None):
+                    parts.append(keys)
+                    rows += len(keys)
             if rows >= GATHERED:
-                gathered()
+                held.gather(parts)
+                parts, rows = [], 0
                 if len(held.keys) >= HELD:
                     yield held.out()
                     held.clear()
-        gathered()
+        held.gather(parts)
         yield held.out()
 
     return _texts(docs).mapInArrow(run, "slot long, keys binary, counts binary, lost long")
@@ -292,7 +282,7 @@ def survivors(parts: DataFrame, capacity, slots: int, threshold: int, bits: int
                 slot = slot.as_py()
                 if slot != now:
                     yield from out(now, held)
-                    now, held = slot, Summary(slots, capacity.value)
+                    now, held = slot, Summary(slots, None if capacity is None else capacity.value)
                 held.lost[slot] += lost.as_py()
                 held.add(np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64))
         yield from out(now, held)
@@ -321,7 +311,7 @@ def exact(docs: DataFrame, words, likely, threshold: int, longest: int = LONGEST
 
         for chunk in _chunks(batches):
             often = words.value(chunk.keys)
-            found = [(1, np.flatnonzero(often), chunk.keys[often]), *chunk.ngrams(longest, often, likely.value)]
+            found = [(1, np.flatnonzero(often), chunk.keys[often]), *chunk.ngrams(longest, often, keep=likely.value)]
             for n, at, keys in found:
                 keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
                 for key, place, count in zip(keys.tolist(), at[first].tolist(), counts.tolist()):
@@ -343,13 +333,20 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST
     spark: SparkSession = docs.sparkSession
     slots = slots_for(docs)
     counts = session.save(census(docs, slots, longest), "census")
-    context = spark.sparkContext
-    words, capacity = context.broadcast(word_filter(counts, slots, threshold, bits)), context.broadcast(capacities(counts, slots, threshold))
-    likely = context.broadcast(Filter.of(survivors(summaries(docs, words, capacity, slots, longest), capacity, slots, threshold, bits), slots, bits))
+    send = spark.sparkContext.broadcast
+
+    def merged(parts: DataFrame, capacity) -> Filter:
+        return Filter.of(survivors(parts, capacity, slots, threshold, bits), slots, bits)
+
+    words = send(merged(counts.where("keys is not null").select("slot", "keys", "counts", "lost"), None))
+    two, more = (send(capacities(counts, slots, threshold, longer)) for longer in (0, 1))
+    pairs = send(merged(summaries(docs, words, two, slots), two))
+    long = merged(summaries(docs, words, more, slots, pairs, longest), more)
+    likely = send(Filter(pairs.value.bits | long.bits))
     found = session.save(exact(docs, words, likely, threshold, longest), "ngrams")
-    totals = session.save(counts.where("what = 'lang'").groupBy("lang").agg(F.sum("n").alias("n")), "words")
+    totals = session.save(counts.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "words")
     session.discard(counts)
-    for held in (words, capacity, likely):
+    for held in (words, two, more, pairs, likely):
         held.unpersist()
     return found, totals
 
