@@ -45,7 +45,9 @@ SLOT_BYTES, FEWEST_SLOTS, MOST_SLOTS = 1 << 24, 64, 1 << 20
 #: N-grams that a task gathers before it counts them, and counters it holds before it hands them on.
 GATHERED, HELD = 1 << 19, 1 << 20
 #: Distinct n-grams that a task holds in the exact count before it hands them on.
-COUNTED = 150_000
+COUNTED = 250_000
+#: Parts of a language that are ranked side by side.
+PARTS = 32
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _CUT = np.zeros(256, bool)
@@ -298,16 +300,24 @@ def survivors(parts: DataFrame, capacity, slots: int, threshold: int, bits: int
     return parts.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "slot long, bits binary")
 
 
-def exact(docs: DataFrame, words, likely, threshold: int, longest: int = LONGEST) -> DataFrame:
-    """lang, phrase, n_words and f of every n-gram of 1 to ``longest`` words that is at least as frequent as the threshold."""
+def exact(docs: DataFrame, words, likely, slots: int, threshold: int, longest: int = LONGEST) -> DataFrame:
+    """lang, phrase, n_words and f of every n-gram of 1 to ``longest`` words that is at least as frequent as the threshold.
+
+    Tasks hand on one row a hash partition: its phrases (language, tab, words) and their counts.
+    Counts of a partition are added up by phrase, so two phrases of one hash stay apart.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held.values()), types)], ["lang", "phrase", "n_words", "f"])
-                held.clear()
+        def out() -> pa.RecordBatch:
+            by: dict[int, list] = {}
+            for slot, entry in zip(slot_of(np.fromiter(held, np.uint64, len(held)), slots).tolist(), held.values()):
+                by.setdefault(slot, []).append(entry)
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(by), pa.int64()), pa.array([[p for p, _ in e] for e in by.values()], pa.list_(pa.string())), pa.array([[n for _, n in e] for e in by.values()], pa.list_(pa.int64()))],
+                ["slot", "phrases", "counts"],
+            )
 
         for chunk in _chunks(batches):
             often = words.value(chunk.keys)
@@ -317,15 +327,35 @@ def exact(docs: DataFrame, words, likely, threshold: int, longest: int = LONGEST
                 for key, place, count in zip(keys.tolist(), at[first].tolist(), counts.tolist()):
                     known = held.get(key)
                     if known is None:
-                        held[key] = [chunk.langs[chunk.rows[place]], chunk.phrase(place, n), n, count]
+                        held[key] = [f"{chunk.langs[chunk.rows[place]]}\t{chunk.phrase(place, n)}", count]
                     else:
-                        known[3] += count
+                        known[1] += count
             if len(held) >= COUNTED:
-                yield from out()
+                yield out()
+        yield out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            often = [(*p.rsplit("\t", 1), n) for p, n in held.items() if n >= threshold]
+            if often:
+                langs, phrases, counts = zip(*often)
+                sizes = pa.array([p.count(" ") + 1 for p in phrases], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), sizes, pa.array(counts, pa.int64())], ["lang", "phrase", "n_words", "f"])
+            held.clear()
+
+        for batch in batches:
+            for slot, phrases, counts in zip(*(batch.column(c) for c in ("slot", "phrases", "counts"))):
+                if slot.as_py() != now:
+                    yield from out()
+                    now = slot.as_py()
+                for phrase, n in zip(phrases.as_py(), counts.as_py()):
+                    held[phrase] = held.get(phrase, 0) + n
         yield from out()
 
-    some = _texts(docs).mapInArrow(run, "lang string, phrase string, n_words int, f long")
-    return some.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
+    packed = _texts(docs).mapInArrow(run, "slot long, phrases array<string>, counts array<long>")
+    return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(add, "lang string, phrase string, n_words int, f long")
 
 
 def frequent(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
@@ -343,7 +373,7 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST
     pairs = send(merged(summaries(docs, words, two, slots), two))
     long = merged(summaries(docs, words, more, slots, pairs, longest), more)
     likely = send(Filter(pairs.value.bits | long.bits))
-    found = session.save(exact(docs, words, likely, threshold, longest), "ngrams")
+    found = session.save(exact(docs, words, likely, slots, threshold, longest), "ngrams")
     totals = session.save(counts.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "words")
     session.discard(counts)
     for held in (words, two, more, pairs, likely):
@@ -380,8 +410,12 @@ def not_inside(phrases: DataFrame, covered: int = COVERED) -> DataFrame:
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, top: int = TOP, covered: int = COVERED, bits: int = FILTER_BITS) -> DataFrame:
     """The best phrases of every language: lang, rank, phrase, a, l, r, n, score."""
     found, totals = frequent(docs, threshold, longest, bits)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = not_inside(scored(found, totals), covered).withColumn("rank", F.row_number().over(best).cast("long"))
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    some = Window.partitionBy("lang", "part").orderBy(*order)
+    # The best of every part of a language first, so that one language is not one task's work.
+    kept = not_inside(scored(found, totals), covered).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    kept = kept.withColumn("place", F.row_number().over(some)).where(F.col("place") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
