@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 from lexloom.llm import golay, shingle_join
 from llm_rows import rows
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata"
 
@@ -67,3 +68,25 @@ def test_frequent_shingles_and_pairs_at_the_bound(spark, monkeypatch):
     for frequent in (6, 10**9):
         monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
         assert collections.Counter(r.doc_id for r in golay.keep_one(frame, words=5, similarity=0.8).collect()) == want
+
+
+def test_pairs_of_near_copies_and_of_more_rows(spark):
+    """A group of g near copies gives about g pairs; texts that share a passage give no more than a few a text, however many they are."""
+    rng = np.random.default_rng(6)
+    body, line = [f"w{x}" for x in rng.integers(0, 10**6, 120)], " ".join(f"shared{i}" for i in range(20))
+    copies = [" ".join([*body[:k % 120], f"new{k}", *body[k % 120 + 1:]]) for k in range(400)]
+
+    def pairs(texts):
+        frame = spark.createDataFrame([(t,) for t in texts], "text string")
+        held = frame.select(F.struct(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")).alias("row"), "text")
+        marks = shingle_join.session.save(shingle_join.marks(held, "row", "text", 5), "marks")
+        first = shingle_join.session.save(shingle_join.leader_pairs(held, "text", 5, 0.8), "first")
+        known = shingle_join.session.save(shingle_join.components(shingle_join.verified(held, marks, first, "row", "text", 5, 0.8)), "known")
+        return first.count(), shingle_join.candidates(held, known, "text", 5, 0.8, len(texts)).count()
+
+    first, rest = pairs(copies)
+    assert first < 4 * len(copies) and rest < len(copies)
+    others = [" ".join([line, *[f"v{x}" for x in rng.integers(0, 10**6, 25)]]) for _ in range(1000)]
+    for some in (others[:200], others):
+        first, rest = pairs(some)
+        assert first <= len(some) and rest <= len(some)
