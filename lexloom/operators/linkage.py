@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions import profiles as pf
 from lexloom.functions.similarity import indel_similarity, similar_pairs
+from lexloom.operators.keyed import KeyedTable
 from lexloom.operators.lexicon import view
 
 FUZZY_THRESHOLD = 90.0
@@ -127,6 +128,24 @@ def find_matches(targets: DataFrame, cat: DataFrame, allow_fuzzy: bool = True) -
     return direct.unionByName(fuzzy_matches(rest, cat))
 
 
+def stored_catalog(cat: DataFrame, path: str) -> KeyedTable:
+    """REF-12: the catalogue by the values a target may equal, stored for point lookups."""
+    way = F.explode(F.array(
+        F.struct(F.col("surface_form").alias("value"), F.lit("exact").alias("way")), F.struct(F.col("normalized_form").alias("value"), F.lit("normalized").alias("way"))
+    ))
+    rows = cat.select("owner_id", *ENTRY_FIELDS, way.alias("v")).select("owner_id", "v.value", "v.way", *ENTRY_FIELDS)
+    return KeyedTable.create(rows, path, ["owner_id", "value"])
+
+
+def match_targets(targets: DataFrame, stored: KeyedTable, cat: DataFrame, allow_fuzzy: bool = True) -> DataFrame:
+    """REF-12: results of a few targets; direct matches read the folders of their values only."""
+    hits = targets.join(stored.lookup_many(targets.select("owner_id", "value")), ["owner_id", "value"])
+    fields = [*TARGET_KEY, "target_label", *ENTRY_FIELDS]
+    direct = hits.select(*fields, F.col("way").alias("match_type"), F.lit(None).cast("double").alias("match_score")).distinct()
+    rest = targets.join(direct.select(*TARGET_KEY).distinct(), TARGET_KEY, "left_anti")
+    return results_of(targets, direct.unionByName(fuzzy_matches(rest, cat)) if allow_fuzzy else direct)
+
+
 def match_order() -> list[Column]:
     """REF-6."""
     return [type_order(), F.coalesce("match_score", F.lit(0.0)).desc(), F.col("display_name"), F.col("surface_form"), F.col("entry_id")]
@@ -149,7 +168,12 @@ def best_matches(matches: DataFrame) -> DataFrame:
 
 def internal_to_reference(targets: DataFrame, cat: DataFrame, allow_fuzzy: bool = True) -> DataFrame:
     """REF-8: one result per target."""
-    found = best_matches(find_matches(targets, cat, allow_fuzzy))
+    return results_of(targets, find_matches(targets, cat, allow_fuzzy))
+
+
+def results_of(targets: DataFrame, matches: DataFrame) -> DataFrame:
+    """REF-8: status, count and best match of every target."""
+    found = best_matches(matches)
     ends = targets.groupBy(*TARGET_KEY, "target_label").agg(F.min("value").alias("any_value"))
     return ends.join(found, TARGET_KEY, "left").select(
         *TARGET_KEY, "target_label",

@@ -254,3 +254,13 @@ def summary_payload(lemma_counts: DataFrame, pos_counts: DataFrame, feature_coun
         return rows.withColumn("value_rank", F.row_number().over(order)).where(F.col("value_rank") <= limit).withColumn("kind", F.lit(kind))
 
     return top(lemma_counts, "lemma", 5).unionByName(top(pos_counts, "pos", 5)).unionByName(top(feature_counts, "feature", 10))
+
+
+def adapted_features(raw: Column, columns: Column) -> Column:
+    """SCL-18: features of the feature column, else of the tagger's other columns, as lists of values."""
+    def listed(k: Column, v: Column) -> Column:
+        many = F.filter(F.transform(F.split(tx.strip(v), ","), tx.strip), lambda x: x != "")
+        return F.when(F.contains(v, F.lit(",")), F.array_sort(F.array_distinct(many))).otherwise(F.array(tx.strip(v)))
+
+    others = F.transform_values(fallback_features(columns), listed)
+    return F.coalesce(parse_features(raw), F.when(F.size(others) > 0, others))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexloom.functions import text as tx
+from lexloom.sources import runs as rn
 
 PAIR = ["file", "surface_form", "normalized_form"]
 PDF_TEXT_MIN_LENGTH = 40
@@ -150,30 +151,30 @@ def read_wordlists(spark: SparkSession, folder: str) -> DataFrame:
 # Sentences -------------------------------------------------------------------------
 
 
-def sentences_from_lines(lines: DataFrame) -> DataFrame:
-    """SRC-7: token/tag lines (file, line_no, line) to sentences.
+def sentences_of(lines: DataFrame) -> DataFrame:
+    """SRC-7 on (file, block, line) in reading order: token/tag lines to numbered sentences.
 
     A blank line ends a sentence, document marks and lines with fewer than two
-    columns are skipped.  The running count is per file.
+    columns are skipped. Sentences are numbered from 0 in every file.
     """
     text = tx.strip(F.col("line"))
-    blanks = F.count_if(text == "").over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    parts = F.split(text, f"{tx.SPACE}+")
-    words = (
-        lines.withColumn("sentence_no", blanks).withColumn("parts", parts)
-        .where((text != "") & ~text.startswith("-DOCSTART-") & (F.size("parts") >= 2))
-    )
-    packed = F.array_sort(F.collect_list(F.struct("line_no", F.get("parts", F.lit(0)).alias("token"), F.element_at("parts", -1).alias("label"))))
-    return words.groupBy("file", "sentence_no").agg(packed.alias("w")).select(
-        "file", "sentence_no", F.transform("w", lambda x: x["token"]).alias("tokens"), F.transform("w", lambda x: x["label"]).alias("labels")
+    parts = F.size(F.split(text, f"{tx.SPACE}+"))
+    kind = F.when(text == "", rn.BLANK).when(text.startswith("-DOCSTART-") | (parts < 2), rn.SKIP).otherwise(rn.WORD)
+    whole = rn.whole_runs(rn.runs(lines.withColumn("line", text), kind))
+    words = F.transform("line_values", lambda x: F.split(x, f"{tx.SPACE}+"))
+    return whole.select("file", F.col("run").alias("sentence_no"), words.alias("w")).select(
+        "file", "sentence_no", F.transform("w", lambda x: F.get(x, F.lit(0))).alias("tokens"), F.transform("w", lambda x: F.element_at(x, -1)).alias("labels")
     )
 
 
+def sentences_from_lines(lines: DataFrame) -> DataFrame:
+    """SRC-7 on rows (file, line_no, line)."""
+    return sentences_of(rn.table_lines(lines))
+
+
 def read_sentence_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7 on whole files."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return sentences_from_lines(lines)
+    """SRC-7 on files of any size, read in splits."""
+    return sentences_of(rn.file_lines(spark, path))
 
 
 def sentence_records(records: DataFrame, label_names: list[str] | None = None) -> DataFrame:
@@ -278,24 +279,29 @@ def upsert_mappings(old: DataFrame, new: DataFrame) -> DataFrame:
 HEADER_WORDS = ("token", "form", "word", "surface", "lemma", "pos", "upos", "feats", "morph", "morph_features")
 
 
-def tagger_rows(lines: DataFrame) -> DataFrame:
-    """SRC-13: tab-separated tagger lines (file, line_no, line) to predictions.
+def tagger_predictions(lines: DataFrame) -> DataFrame:
+    """SRC-13 on (file, block, line) in reading order: tab-separated tagger lines to predictions.
 
     The first line that names columns is the header; without one, columns are
     token, lemma, part of speech and features.  Blank lines end a sequence.
+    ``columns`` holds every named column that has a value.
     """
     line = F.col("line")
-    blank = tx.strip(line) == ""
     usable = lines.where(~F.ltrim(line).startswith("#"))
-    whole = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    parts = F.transform(F.split(line, "\t"), lambda x: F.nullif(tx.strip(x), F.lit("")))
-    lowered = F.transform(parts, lambda x: F.lower(F.coalesce(x, F.lit(""))))
-    headed = usable.withColumn("seq", F.count_if(blank).over(whole)).where(~blank).withColumn("parts", parts)
-    first = headed.groupBy("file").agg(F.min_by(F.struct("line_no", lowered.alias("names")), F.col("line_no")).alias("h")).select(
-        "file", F.when(F.arrays_overlap("h.names", F.array(*[F.lit(x) for x in HEADER_WORDS])), F.col("h.line_no")).alias("header_line"),
-        F.when(F.arrays_overlap("h.names", F.array(*[F.lit(x) for x in HEADER_WORDS])), F.col("h.names")).alias("names"),
-    )
-    rows = headed.join(first, "file").where(F.col("header_line").isNull() | (F.col("line_no") != F.col("header_line")))
+    cells = lambda x: F.transform(F.split(x, "\t"), lambda v: F.nullif(tx.strip(v), F.lit("")))
+    lowered = lambda x: F.transform(cells(x), lambda v: F.lower(F.coalesce(v, F.lit(""))))
+    # The head of a file is the first line of its first split that has one.
+    told = usable.where(tx.strip(line) != "").withColumn("at", F.monotonically_increasing_id())
+    first = told.groupBy("file", "block").agg(F.min_by("line", "at").alias("line")).groupBy("file").agg(F.min_by("line", "block").alias("line"))
+    heads = first.select("file", lowered(line).alias("names")).where(F.arrays_overlap("names", F.array(*[F.lit(x) for x in HEADER_WORDS])))
+    pieces = rn.runs(usable, F.when(tx.strip(line) == "", rn.BLANK).otherwise(rn.WORD))
+    rows = pieces.join(heads, "file", "left").select("file", "run", "start", "names", F.posexplode("line_values").alias("pos", "line"))
+    rows = rows.withColumns({"position": (F.col("start") + F.col("pos")).cast("int"), "parts": cells(line), "headed": F.col("names").isNotNull()})
+    # The header is the first line of run 0; its run counts only when other lines follow it there.
+    alone = rows.where("headed and run = 0").groupBy("file").agg((F.max("position") == 0).alias("alone"))
+    rows = rows.where(~(F.col("headed") & (F.col("run") == 0) & (F.col("position") == 0))).join(alone, "file", "left")
+    sequence = (F.col("run") - F.coalesce(F.col("alone"), F.lit(False)).cast("int")).cast("int")
+    position = F.col("position") - (F.col("headed") & (F.col("run") == 0)).cast("int")
 
     def named(*options: str) -> Column:
         return F.coalesce(*[F.get("parts", F.when(F.array_position("names", o) > 0, F.array_position("names", o) - 1).cast("int")) for o in options])
@@ -303,14 +309,41 @@ def tagger_rows(lines: DataFrame) -> DataFrame:
     def col(place: int, *options: str) -> Column:
         return F.when(F.col("names").isNull(), F.get("parts", F.lit(place))).otherwise(named(*options))
 
-    position = F.row_number().over(Window.partitionBy("file", "seq").orderBy("line_no")) - 1
-    sequence = F.dense_rank().over(Window.partitionBy("file").orderBy("seq")) - 1
-    return rows.withColumns({"sequence": sequence, "position": position}).select(
-        "file", "sequence", "position",
+    given = F.filter(F.arrays_zip(F.col("names").alias("k"), F.col("parts").alias("v")), lambda p: p["k"].isNotNull() & (p["k"] != "") & p["v"].isNotNull())
+    last = lambda kept: F.map_from_entries(F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda q: q["k"] == p["k"])))
+    return rows.select(
+        "file", sequence.alias("sequence"), position.alias("position"),
         F.coalesce(col(0, "token", "form", "word", "surface"), F.lit("")).alias("token_surface"),
         col(1, "lemma").alias("raw_lemma"), col(2, "pos", "upos", "xpos").alias("raw_pos"),
-        col(3, "feats", "morph", "morph_features").alias("raw_features"),
+        col(3, "feats", "morph", "morph_features").alias("raw_features"), F.when(F.col("headed"), tx.bind(given, last)).alias("columns"),
+    )
+
+
+def tagger_rows(lines: DataFrame) -> DataFrame:
+    """SRC-13 on rows (file, line_no, line)."""
+    return tagger_predictions(rn.table_lines(lines))
+
+
+def read_tagger_output(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-13 on files of any size, read in splits."""
+    return tagger_predictions(rn.file_lines(spark, path))
+
+
+def resplit(predictions: DataFrame, tokens: DataFrame) -> DataFrame:
+    """SRC-13: one flat sequence is cut like the input's sequences when it has as many tokens as they have together."""
+    wanted = tokens.groupBy("file", "sequence").agg(F.count("*").alias("size"))
+    # One row a sequence of a file that came back flat.
+    shape = wanted.groupBy("file").agg(F.count("*").alias("n_wanted"), F.sum("size").alias("all_wanted")).join(
+        predictions.groupBy("file").agg(F.max("sequence").alias("last"), F.count("*").alias("all_got")), "file"
+    )
+    flat = shape.where("last = 0 and n_wanted > 1 and all_wanted = all_got").select("file")
+    before = Window.partitionBy("file").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    begins = wanted.join(flat, "file", "left_semi").select("file", "sequence", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("begin"))
+    places = tokens.select("file", "sequence", "position").join(begins, ["file", "sequence"]).select(
+        "file", F.col("sequence").alias("to_sequence"), F.col("position").alias("to_position"), (F.col("begin") + F.col("position")).cast("int").alias("position")
     )
+    moved = predictions.join(places, ["file", "position"]).withColumns({"sequence": F.col("to_sequence"), "position": F.col("to_position")})
+    return predictions.join(flat, "file", "left_anti").unionByName(moved.select(predictions.columns))
 
 
 def align_predictions(predictions: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -319,11 +352,13 @@ def align_predictions(predictions: DataFrame, tokens: DataFrame) -> DataFrame:
     Both tables carry file, sequence and position.
     """
     key = ["file", "sequence"]
+    predictions = resplit(predictions, tokens)
     sizes = predictions.groupBy(*key).agg(F.count("*").alias("got")).join(
         tokens.groupBy(*key).agg(F.count("*").alias("wanted")), key, "right"
     )
     problem = F.when(F.coalesce("got", F.lit(0)) != F.col("wanted"), "token_count_mismatch")
     flags = sizes.select(*key, problem.alias("problem"))
+    given = [c for c in ("raw_lemma", "raw_pos", "raw_features", "columns") if c in predictions.columns]
     return tokens.join(flags, key).join(
         predictions.drop("token_surface"), [*key, "position"], "left"
-    ).withColumns({c: F.when(F.col("problem").isNull(), F.col(c)) for c in ("raw_lemma", "raw_pos", "raw_features")})
+    ).withColumns({c: F.when(F.col("problem").isNull(), F.col(c)) for c in given})

@@ -111,3 +111,75 @@ def test_merge_entities(spark):
     new = spark.createDataFrame([("s", "ա", "PER", "ա", 3, 0.85, ["2", "3", "4", "5", "6"]), ("s", "բ", "LOC", "Բ", 1, 0.85, ["x"])], schema)
     got = {r.normalized_surface: (r.entity_surface, r.occurrence_count, r.confidence, r.sample_contexts) for r in sk.merge_entity_entries(old, new).collect()}
     assert got == {"ա": ("Ա", 5, 0.85, ["1", "2", "3", "4", "5"]), "բ": ("Բ", 1, 0.85, ["x"])}
+
+
+def test_files_in_many_splits(spark, tmp_path):
+    """A file read in splits of a few dozen bytes gives the sentences and rows of reading it whole."""
+    import random
+
+    rng, text, tagged, want, rows = random.Random(4), [], ["form\tlemma\tGender"], {}, {}
+    for name in ("a", "b", "c"):
+        lines, sequence, cells = [], -1, [] if name == "a" else [tagged[0]]
+        sentences, now = [], []
+        for n in range(150):
+            kind = rng.random()
+            if kind < (0.0 if name == "c" else 0.3):
+                lines.append(rng.choice(["", "  ", "\t"]))
+                sentences += [now] if now else []
+                now = []
+            elif kind < 0.4:
+                lines.append(rng.choice(["-DOCSTART- X O", "lonely"]))
+            else:
+                lines.append(f"բառ{n} X {rng.choice('OB')}")
+                now.append((f"բառ{n}", lines[-1][-1]))
+        sentences += [now] if now else []
+        (tmp_path / f"{name}.conll").write_text("\n".join(lines) + "\n", encoding="utf-8")
+        want[name] = sentences
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("250b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = fl.read_sentence_files(spark, str(tmp_path)).orderBy("file", "sentence_no").collect()
+            for name, sentences in want.items():
+                own = [r for r in got if r.file.endswith(f"{name}.conll")]
+                assert [list(zip(r.tokens, r.labels)) for r in own] == sentences
+                assert [r.sentence_no for r in own] == list(range(len(sentences)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_tagger_files_in_splits(spark, tmp_path):
+    lines, want, sequence, position = ["form\tlemma\tGender"], [], 0, 0
+    for n in range(120):
+        if n % 7 == 6:
+            lines += ["", "# note", ""]
+            sequence, position = sequence + 1, 0
+        lines.append(f"w{n}\tl{n}\t{'Fem' if n % 3 else '_'}")
+        want.append((sequence, position, f"w{n}", f"l{n}", "Fem" if n % 3 else None))
+        position += 1
+    (tmp_path / "a.tsv").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "b.tsv").write_text("word\n\n" + "\n".join(lines[1:]), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("300b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = fl.read_tagger_output(spark, str(tmp_path)).withColumn("f", mo.adapted_features(F.col("raw_features"), F.col("columns"))).collect()
+            got = sorted((r.sequence, r.position, r.token_surface, r.raw_lemma, r.f and r.f.get("gender", [None])[0]) for r in rows if r.file.endswith("a.tsv"))
+            assert got == sorted(want, key=lambda r: r[:2])
+            assert sorted((r.sequence, r.position, r.raw_lemma) for r in rows if r.file.endswith("b.tsv")) == sorted((r[0], r[1], None) for r in want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_flat_tagger_output_is_cut(spark):
+    flat = spark.createDataFrame([("f", i, x) for i, x in enumerate(["ա\tA", "բ\tB", "գ\tC"])] + [("g", i, x) for i, x in enumerate(["ա\tA", "բ\tB"])], "file string, line_no int, line string")
+    tokens = spark.createDataFrame([("f", 0, 0, "ա"), ("f", 1, 0, "բ"), ("f", 1, 1, "գ"), ("g", 0, 0, "ա"), ("g", 1, 0, "բ"), ("g", 1, 1, "x")], "file string, sequence int, position int, token_surface string")
+    got = {(r.file, r.sequence, r.position): (r.raw_lemma, r.problem) for r in fl.align_predictions(fl.tagger_rows(flat), tokens).collect()}
+    assert got == {
+        ("f", 0, 0): ("A", None), ("f", 1, 0): ("B", None), ("f", 1, 1): ("C", None),
+        ("g", 0, 0): (None, "token_count_mismatch"), ("g", 1, 0): (None, "token_count_mismatch"), ("g", 1, 1): (None, "token_count_mismatch"),
+    }
