@@ -174,16 +174,44 @@ def fill_from_corpus(pending: DataFrame, best_corpus: DataFrame) -> DataFrame:
     return pending.select("normalized_form").distinct().join(best_corpus, "normalized_form").select(
         "normalized_form", F.col("lemma").alias("matched_form"), F.lit(LOCAL_TITLE).alias("source_title"),
         F.concat(F.lit("Matched across "), F.col("source_count"), F.lit(" corpus document(s).")).alias("snippet"),
-        F.lit("normalized").alias("match_type"), F.lit(100.0).alias("match_score"),
+        F.lit("normalized").alias("match_type"), F.lit(100.0).alias("match_score"), "source_count",
     )
 
 
 def reuse_lemma_results(pending: DataFrame, best_lemmas: DataFrame, items: DataFrame) -> DataFrame:
-    """EXT-10: results of the best lemma, kept for the surface form."""
-    lemma = best_lemmas.select("normalized_form", F.lower("best_lemma").alias("lemma_form")).where(
-        F.col("lemma_form") != F.col("normalized_form")
-    )
-    hits = items.select(F.col("normalized_form").alias("lemma_form"), "provider_key", "matched_form", "source_title", "reference_link")
-    return pending.select("normalized_form").distinct().join(lemma, "normalized_form").join(hits, "lemma_form").withColumn(
-        "canonical_lookup_query", F.col("lemma_form")
+    """EXT-10: results of the owner's best lemma, kept for the surface form."""
+    key = ["owner_id", "normalized_form"]
+    lemma = best_lemmas.select(*key, F.lower("best_lemma").alias("lemma_form")).where(F.col("lemma_form") != F.col("normalized_form"))
+    hits = items.select(
+        F.col("normalized_form").alias("lemma_form"), "provider_key", "matched_form", "source_title", "reference_link", "match_type", "match_score"
     )
+    return pending.select(*key).distinct().join(lemma, key).join(hits, "lemma_form").withColumn("canonical_lookup_query", F.col("lemma_form"))
+
+
+def cache_rows(filled: DataFrame, provider_key: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """EXT-10: cache and result rows of forms filled from lemmas or from the corpus, as they are stored.
+
+    The cache has no owner: a form that several owners fill alike is one row, and equal results
+    are one.  Such rows never expire.  Ids follow from provider, form and origin, so storing a
+    batch twice gives the same rows.
+    """
+    by_lemma = "canonical_lookup_query" in filled.columns
+    origin = F.lit("morphology_fallback" if by_lemma else "local_corpus_match")
+    detail = "canonical_lookup_query" if by_lemma else "source_count"
+    cache_id = F.sha2(F.concat_ws("|", F.lit(provider_key), origin, "normalized_form"), 256)
+    link = F.col("reference_link") if "reference_link" in filled.columns else F.lit(None).cast("string")
+    snippet = F.col("snippet") if "snippet" in filled.columns else F.lit(None).cast("string")
+    rows = filled.select(
+        cache_id.alias("cache_id"), "normalized_form", "matched_form", "source_title", snippet.alias("snippet"), link.alias("reference_link"),
+        "match_type", "match_score", F.col(detail).cast("string").alias("detail"),
+    ).distinct()
+    cache = rows.select(
+        "cache_id", F.lit(provider_key).alias("provider_key"), F.col("normalized_form").alias("query_text"), F.col("normalized_form").alias("normalized_query"),
+        F.lit("normalized").alias("search_mode"), F.lit("completed").alias("status"), now.alias("fetched_at"), now.alias("created_at"),
+        F.lit(None).cast("timestamp").alias("expires_at"),
+    ).distinct()
+    results = rows.select(
+        "cache_id", F.lit(provider_key).alias("provider_key"), "matched_form", F.lower("matched_form").alias("normalized_form"), "source_title", "snippet",
+        "reference_link", "match_type", "match_score", F.create_map(origin, F.lit("true"), F.lit(detail), F.col("detail")).alias("metadata"),
+    )
+    return cache, results

@@ -282,21 +282,11 @@ def first_occurrences(occ: DataFrame, limit: int = DETAIL_LIMIT, key: Sequence[s
     return occ.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def group_detail(occ: DataFrame, documents: DataFrame, pages: DataFrame, limit: int = DETAIL_LIMIT) -> DataFrame:
-    """LEX-16: the first occurrences of every group with the highlighted range."""
-    hl = tx.stored_snippet_highlight(
-        F.col("page_text"), F.col("char_start"), F.col("char_end"), F.col("context_snippet"), F.col("token")
-    )
-    return (
-        first_occurrences(occ, limit)
-        .join(documents.select("document_id", "title"), "document_id")
-        .join(pages.select("page_id", "page_text"), "page_id")
-        .withColumn("hl", hl)
-        .select(
-            "owner_id", F.col("normalized_token").alias("normalized_form"), "rank", "document_id", "title",
-            "page_id", "page_number", "token", "context_snippet", "char_start", "char_end",
-            F.col("hl.hl_start").alias("highlight_start"), F.col("hl.hl_end").alias("highlight_end"),
-        )
+def group_detail(occ: DataFrame, documents: DataFrame, limit: int = DETAIL_LIMIT) -> DataFrame:
+    """LEX-16: the first occurrences of every group with the highlighted range, which the index keeps with the word."""
+    return first_occurrences(occ, limit).join(documents.select("document_id", "title"), "document_id").select(
+        "owner_id", F.col("normalized_token").alias("normalized_form"), "rank", "document_id", "title",
+        "page_id", "page_number", "token", "context_snippet", "char_start", "char_end", "highlight_start", "highlight_end",
     )
 
 

@@ -67,7 +67,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
     words = spans.select(
         *keep, "page_length", token.alias("token"), tx.plain_script(token).alias("plain"),
         char_start.cast("int").alias("char_start"), char_end.cast("int").alias("char_end"), near.alias("near"),
+        F.substring(near, F.lit(1), F.least(local, F.lit(radius))).alias("left"),
     )
+    # The word inside its snippet, stored so that no later step needs the page for it.
+    hl_start = F.when(F.col("char_start") > radius, 3).otherwise(0) + F.length(_single_blanks("left"))
     return words.select(
         *keep,
         "token",
@@ -77,15 +80,18 @@ def occurrences(pages: DataFrame) -> DataFrame:
         "char_end",
         F.concat(
             F.when(F.col("char_start") > radius, "...").otherwise(""),
-            F.ltrim(
-                F.when(F.contains("near", F.lit("  ")), F.regexp_replace("near", " +", " "))
-                .otherwise(F.col("near"))
-            ),
+            _single_blanks("near"),
             F.when(F.col("char_end") + radius < F.col("page_length"), "...").otherwise(""),
         ).alias("context_snippet"),
+        hl_start.alias("highlight_start"),
+        (hl_start + F.length("token")).alias("highlight_end"),
     )
 
 
+def _single_blanks(name: str) -> Column:
+    return F.ltrim(F.when(F.contains(name, F.lit("  ")), F.regexp_replace(name, " +", " ")).otherwise(F.col(name)))
+
+
 def classification(token: Column, plain: Column) -> list[Column]:
     """SCL-7 as columns; ``plain`` answers for ordinary words of one script."""
     known = plain.isNotNull()

@@ -215,11 +215,11 @@ def top_per_category(items: DataFrame, limit: int) -> DataFrame:
     return items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def fuzzy_forms(requests: DataFrame, forms: DataFrame) -> DataFrame:
-    """WRD-12: the five most similar known forms of every word of three letters or more.
+def scored_forms(requests: DataFrame, forms: DataFrame) -> DataFrame:
+    """WRD-12: known forms above the threshold for every word of three letters or more.
 
-    ``forms``: owner_id, normalized_form, distinct.  Candidates come from shared
-    pieces, so nothing above the threshold is missed and no full product is made.
+    ``forms``: owner_id, normalized_form.  Candidates come from shared pieces, so nothing
+    above the threshold is missed and no full product is made.
     """
     left = requests.select("owner_id", F.col("query_form").alias("value")).where(F.length("value") > 2).distinct()
     right = forms.select("owner_id", F.col("normalized_form").alias("value")).where(F.col("value") != "").distinct()
@@ -229,8 +229,77 @@ def fuzzy_forms(requests: DataFrame, forms: DataFrame) -> DataFrame:
         .withColumn("score", block_similarity("value_left", "value_right")).where(F.col("score") >= FUZZY_THRESHOLD)
         .select("owner_id", F.col("value_left").alias("query_form"), F.col("value_right").alias("form"), "score")
     )
-    order = Window.partitionBy(*ASK).orderBy(F.desc("score"), "form")
-    return same.unionByName(near).withColumn("form_rank", F.row_number().over(order)).where(F.col("form_rank") <= FUZZY_FORM_LIMIT)
+    return same.unionByName(near)
+
+
+def _ranked_forms(scored: DataFrame, key: list[str]) -> DataFrame:
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), "form")
+    return scored.withColumn("form_rank", F.row_number().over(order)).where(F.col("form_rank") <= FUZZY_FORM_LIMIT)
+
+
+def fuzzy_forms(requests: DataFrame, forms: DataFrame) -> DataFrame:
+    """WRD-12: the five most similar known forms of every word."""
+    return _ranked_forms(scored_forms(requests, forms), ASK)
+
+
+def known_forms(lexeme_values: DataFrame, book_forms: DataFrame, analyses: DataFrame, entries: DataFrame, entry_analyses: DataFrame) -> DataFrame:
+    """WRD-12: the forms that fuzzy mode compares with: owner_id, source_type, normalized_form, distinct.
+
+    Books and wordlists know their own forms and the lemmas of their finished tagger rows.
+    ``book_forms`` is one row per form (the groups), not the fact table.
+    """
+    lemmas = lambda rows: rows.where("analysis_status = 'completed' and lemma_normalized is not null").select("owner_id", F.col("lemma_normalized").alias("normalized_form"))
+    of = {
+        "lexicon": lexeme_values.select("owner_id", "normalized_form"),
+        "imported_book": book_forms.select("owner_id", "normalized_form").unionByName(lemmas(analyses)),
+        "reference_source": entries.select("owner_id", "normalized_form").unionByName(lemmas(entry_analyses)),
+    }
+    parts = [rows.where("normalized_form <> ''").select("owner_id", F.lit(kind).alias("source_type"), "normalized_form") for kind, rows in of.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def fuzzy_category_forms(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """WRD-12: the five most similar forms of every word in each category; a pair is scored once for all categories."""
+    scored = scored_forms(requests, known)
+    in_category = known.withColumnRenamed("normalized_form", "form")
+    return _ranked_forms(scored.join(in_category, ["owner_id", "form"]), [*ASK, "source_type"])
+
+
+def fuzzy_items(near: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    """WRD-11/12: first items of every asked word and category over its similar forms.
+
+    ``near``: owner_id, query_form (asked), source_type, form.  ``items``: evidence of the
+    forms, with the form as query_form.  Items are cut to ``limit`` per form before they are
+    dealt to the words that ask for the form.  An item found through several forms counts
+    once, direct hits before lemma hits.
+    """
+    asked = near.select("owner_id", F.col("query_form").alias("asked"), "source_type", F.col("form").alias("query_form"))
+    first = top_per_category(items, limit).drop("place")
+    dealt = asked.join(first, [*ASK, "source_type"])
+    fields = [n for n in ITEM if n not in ("source_type", "item_key")]
+    order = F.struct((F.col("via") != "token").alias("l"), F.coalesce("matched_form", F.lit("")).alias("m"), "query_form")
+    one = dealt.groupBy("owner_id", "asked", "source_type", "item_key").agg(F.min_by(F.struct("query_form", *fields), order).alias("i"))
+    rows = one.select("owner_id", F.col("asked").alias("query_form"), F.col("i.query_form").alias("form"), "source_type", "item_key", *[F.col(f"i.{n}").alias(n) for n in fields])
+    return top_per_category(rows, limit)
+
+
+def external_by_mode(items: DataFrame, mode: str) -> DataFrame:
+    """WRD-14: trusted external items under a search mode, in display order (``place``).
+
+    An external item's own form is its matched form.  Exact mode needs ``raw_query``.
+    """
+    rows = items.withColumns({"word_form": F.col("matched_form"), "item_form": tx.normalize_token(F.coalesce("matched_form", F.lit("")))})
+    order = Window.partitionBy(*ASK).orderBy(F.coalesce("provider_display_name", F.lit("")), "source_title", "word_form", F.coalesce("reference_link", F.lit("")))
+    return filter_by_mode(rows, mode).withColumn("place", F.row_number().over(order)).drop("word_form", "item_form")
+
+
+def check_sources(requests: DataFrame, cached: DataFrame, corpus: DataFrame, corpus_limit: int = 5) -> DataFrame:
+    """WRD-15: the external sources behind a word check: cached items and the first corpus lemmas."""
+    names = ["provider_display_name", "matched_form", "reference_link"]
+    hits = requests.join(cached.withColumnRenamed("normalized_form", "query_form"), "query_form").select(
+        *ASK, F.coalesce("provider_display_name", "provider_key", F.lit("External")).alias(names[0]), *names[1:]
+    )
+    return hits.unionByName(corpus_items(requests, corpus, corpus_limit).select(*ASK, *names))
 
 
 def quick_check(

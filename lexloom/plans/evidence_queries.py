@@ -232,14 +232,44 @@ def corpus_filled_cache(w):
     return ex.fill_from_corpus(pending, w.corpus_matches.where("lemma_rank = 1")).select("normalized_form", "matched_form", "snippet")
 
 
-@query("EXT-10", f"""SELECT DISTINCT d.normalized_form, lower(b.best) canonical_lookup_query, r.matched_form FROM {DOCFORMS} d LEFT JOIN ecur e ON e.normalized_form=d.normalized_form
-   JOIN (SELECT owner_id, normalized_form, arg_min(value, (-n, value)) best FROM worddist WHERE kind='lemma' AND value<>'' GROUP BY 1,2) b ON b.normalized_form=d.normalized_form AND b.owner_id='en'
-   JOIN ecur c ON c.normalized_form=lower(b.best) AND c.fresh JOIN eresult r ON r.cache_id=c.cache_id WHERE NOT coalesce(e.fresh,false) AND lower(b.best)<>d.normalized_form""")
+LOOKED_UP = """(SELECT DISTINCT normalized_form FROM vocab UNION SELECT lower(lemma) FROM analysis WHERE analysis_status='completed' AND lower(lemma)<>normalized_form AND length(lemma)%2=0)"""
+REUSED = f"""(SELECT d.owner_id, d.normalized_form, lower(b.best) lemma_form, i, CASE i WHEN 1 THEN lower(b.best) ELSE lower(b.best)||'x' END matched_form FROM (SELECT DISTINCT owner_id, normalized_form FROM {DOCFORMS}) d
+   JOIN (SELECT owner_id, normalized_form, arg_min(value, (-n, value)) best FROM worddist WHERE kind='lemma' AND value<>'' GROUP BY 1,2) b ON b.normalized_form=d.normalized_form AND b.owner_id=d.owner_id, (VALUES (1),(2)) t(i)
+   WHERE lower(b.best)<>d.normalized_form AND d.normalized_form NOT IN (SELECT normalized_form FROM {LOOKED_UP}) AND lower(b.best) IN (SELECT normalized_form FROM {LOOKED_UP})
+   AND length(b.best)%5<>0 AND length(b.best)%9<>0)"""
+
+
+def _lemma_results(w):
+    """The cache also holds the lemmas of even length; their results serve the forms that were never looked up."""
+    done = w.analyses.where("analysis_status = 'completed' and lemma_normalized <> token_normalized and length(lemma_normalized) % 2 = 0")
+    cache = w.cache_of(w.vocabulary.select("normalized_form").union(done.select("lemma_normalized")).distinct())
+    pending = ex.pending_forms(w.slice_numbers.select("owner_id", "document_id", "normalized_form"), cache, w.now)
+    items = ex.cached_items(w.providers, cache, w.results_of(cache), "normalized", w.now)
+    return ex.reuse_lemma_results(pending, mo.best_lemmas(mo.word_distribution(w.analyses)), items)
+
+
+@query("EXT-10", f"SELECT owner_id, normalized_form, lemma_form canonical_lookup_query, matched_form FROM {REUSED}")
 def lemma_filled_cache(w):
+    return _lemma_results(w).select("owner_id", "normalized_form", "canonical_lookup_query", "matched_form")
+
+
+@query("EXT-10", f"""WITH f AS (SELECT normalized_form, 'lemma' origin, matched_form, lemma_form detail, false expires FROM {REUSED} UNION
+   SELECT d.normalized_form, 'corpus', c.lemma, c.source_count::VARCHAR, false FROM {DOCFORMS} d JOIN clookup c ON c.normalized_form=d.normalized_form AND c.lemma_rank=1
+   LEFT JOIN ecur e ON e.normalized_form=d.normalized_form WHERE NOT coalesce(e.fresh,false))
+   SELECT normalized_form, origin, matched_form, detail, expires, count(*) OVER (PARTITION BY normalized_form, origin) cached_results FROM f""")
+def stored_lookup_rows(w):
+    """Cache rows with their results, as filled from lemmas and from the corpus; such rows never expire."""
     pending = ex.pending_forms(w.slice_numbers.select("owner_id", "document_id", "normalized_form"), w.external_cache, w.now)
-    lemmas = mo.best_lemmas(mo.word_distribution(w.analyses)).where("owner_id = 'en'")
-    items = ex.cached_items(w.providers, w.external_cache, w.external_results, "normalized", w.now)
-    return ex.reuse_lemma_results(pending, lemmas, items).select("normalized_form", "canonical_lookup_query", "matched_form")
+    parts = {"lemma": (_lemma_results(w), "canonical_lookup_query"), "corpus": (ex.fill_from_corpus(pending, w.corpus_matches.where("lemma_rank = 1")), "source_count")}
+    out = []
+    for origin, (filled, detail) in parts.items():
+        cache, results = ex.cache_rows(filled, "nayiri_web", w.now)
+        counts = ex.result_counts(results).withColumnRenamed("result_count", "cached_results")
+        out.append(cache.join(results.drop("provider_key"), "cache_id").join(counts, "cache_id").select(
+            F.col("normalized_query").alias("normalized_form"), F.lit(origin).alias("origin"), "matched_form", F.col("metadata")[detail].alias("detail"),
+            F.col("expires_at").isNotNull().alias("expires"), *_long("cached_results"),
+        ))
+    return out[0].unionByName(out[1])
 
 
 # Candidates --------------------------------------------------------------------------
@@ -380,9 +410,13 @@ def build_run_totals(w):
     return dc.run_totals(w.candidates)
 
 
-@query("DSC-27", """SELECT document_id, normalized_token normalized_form, k::BIGINT AS rank, page_id, char_start::BIGINT char_start FROM (SELECT *, row_number() OVER (PARTITION BY document_id, normalized_token ORDER BY page_number, char_start) k FROM occ) WHERE k<=20""")
+@query("DSC-27", """SELECT o.document_id, normalized_token normalized_form, k::BIGINT AS rank, o.page_id, char_start::BIGINT char_start, token, context_snippet,
+   (CASE WHEN char_start>25 THEN 3 ELSE 0 END + length(regexp_replace(regexp_replace(substr(p.page_text, greatest(char_start-25,0)+1, least(char_start,25)), '\\s+', ' ', 'g'), '^ ', '')))::BIGINT highlight_start
+   FROM (SELECT *, row_number() OVER (PARTITION BY document_id, normalized_token ORDER BY page_number, char_start) k FROM occs) o JOIN page p ON p.page_id=o.page_id WHERE k<=20""")
 def candidate_occurrences(w):
-    return dc.candidate_occurrences(w.candidates, w.occ).select("document_id", "normalized_form", *_long("rank"), "page_id", *_long("char_start"))
+    return dc.candidate_occurrences(w.candidates, w.occ).select(
+        "document_id", "normalized_form", *_long("rank"), "page_id", *_long("char_start"), "token", "context_snippet", *_long("highlight_start")
+    )
 
 
 @query("DSC-22", """WITH one AS (SELECT DISTINCT owner_id, normalized_form FROM cat WHERE display_name='wordlist-0')

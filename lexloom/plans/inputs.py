@@ -383,8 +383,11 @@ class Workbench:
     @cached_property
     def external_cache(self) -> DataFrame:
         """Two lookups per form a day apart; some failed, some never expire."""
+        return self.cache_of(self.vocabulary.select("normalized_form").distinct())
+
+    @staticmethod
+    def cache_of(forms: DataFrame) -> DataFrame:
         n = F.length("normalized_form")
-        forms = self.vocabulary.select("normalized_form").distinct()
         rows = forms.select("normalized_form", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
         fetched = F.to_timestamp(F.lit("2024-01-31 00:00:00")) + F.make_interval(days=F.col("k") - 1, hours=n)
         return rows.withColumn("fetched_at", fetched).select(
@@ -397,8 +400,12 @@ class Workbench:
 
     @cached_property
     def external_results(self) -> DataFrame:
+        return self.results_of(self.external_cache)
+
+    @staticmethod
+    def results_of(cache: DataFrame) -> DataFrame:
         n = F.length("normalized_query")
-        rows = self.external_cache.where((n % 5 != 0) & (F.col("status") == "completed")).select(
+        rows = cache.where((n % 5 != 0) & (F.col("status") == "completed")).select(
             "cache_id", "normalized_query", F.explode(F.array(F.lit(1), F.lit(2))).alias("i")
         )
         title = F.concat(F.lit("Dictionary "), F.col("i"))
@@ -499,6 +506,13 @@ class Workbench:
         cached = external.cached_items(self.providers, self.external_cache, self.external_results, "normalized", self.now)
         return session.save(words.external_items(self.requests, cached, words.corpus_items(self.requests, self.corpus_matches)), "external_items")
 
+    @cached_property
+    def fuzzy_near(self) -> DataFrame:
+        known = words.known_forms(
+            status.lexeme_values(self.lexemes, self.lexeme_forms), self.group_numbers, self.analyses, self.reference_entries, self.entry_analyses
+        )
+        return session.save(words.fuzzy_category_forms(self.requests, known), "fuzzy_near")
+
     @cached_property
     def word_candidates(self) -> DataFrame:
         return session.save(review.document_word_candidates(

@@ -132,7 +132,7 @@ FIRST100 = """(SELECT *, row_number() OVER (PARTITION BY owner_id, normalized_to
 @query("LEX-16", f"""SELECT o.owner_id, normalized_token normalized_form, k::BIGINT AS rank, document_id, page_id, token, context_snippet, char_start::BIGINT char_start,
    instr(context_snippet, token) > 0 AS has_token FROM {FIRST100} o WHERE k<=100""")
 def group_detail(w):
-    d = lx.group_detail(w.occ, w.documents, w.pages)
+    d = lx.group_detail(w.occ, w.documents)
     hit = F.substring("context_snippet", F.col("highlight_start") + 1, F.col("highlight_end") - F.col("highlight_start"))
     return d.select(
         "owner_id", "normalized_form", *_long("rank"), "document_id", "page_id", "token", "context_snippet", *_long("char_start"),

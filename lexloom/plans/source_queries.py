@@ -49,17 +49,19 @@ def csv_single_column(w):
 
 
 @query("SRC-6", r"""WITH f AS (SELECT document_id, sum(greatest(length(raw_text),0)) FILTER (page_number%2=1) sz FROM rawpage GROUP BY 1),
-   l AS (SELECT p.document_id, CASE WHEN page_number%2=1 THEN 'text' ELSE 'ocr' END kind, unnest(string_split(raw_text, chr(10))) line FROM rawpage p WHERE raw_text<>'')
-   SELECT l.document_id, count(DISTINCT trim(line)) entries, CASE WHEN coalesce(f.sz,0)>=40 THEN 'pdf_text' ELSE 'pdf_ocr' END import_method FROM l JOIN f USING (document_id)
-   WHERE (kind='text')=(coalesce(f.sz,0)>=40) AND trim(line)<>'' AND length(trim(line))<=120 AND NOT regexp_full_match(trim(line), '[^\p{L}\p{N}]+') AND NOT regexp_matches(line, '[;|/,]') GROUP BY 1,3""")
+   l AS (SELECT p.document_id, CASE WHEN page_number%2=1 THEN 'text' ELSE 'ocr' END kind, unnest(string_split(raw_text, chr(10))) line FROM rawpage p WHERE raw_text<>''),
+   b AS (SELECT l.document_id, trim(line) v, coalesce(f.sz,0)>=40 layer FROM l JOIN f USING (document_id)
+     WHERE (kind='text')=(coalesce(f.sz,0)>=40) AND trim(line)<>'' AND length(trim(line))<=120 AND NOT regexp_full_match(trim(line), '[^\p{L}\p{N}]+')),
+   p AS (SELECT document_id, layer, unnest(CASE WHEN layer AND (regexp_matches(v,'[;|/]') OR (length(v)-length(replace(v,',',''))=1 AND len(string_split_regex(v,'\s+'))<=6))
+     THEN list_transform(string_split_regex(v,'\s*[;,|/]\s*'), lambda x: trim(x)) ELSE [v] END) c FROM b)
+   SELECT document_id, count(DISTINCT c) entries, CASE WHEN layer THEN 'pdf_text' ELSE 'pdf_ocr' END import_method FROM p WHERE c<>'' AND NOT regexp_full_match(c, '[^\p{L}\p{N}]+') GROUP BY 1,3""")
 def pdf_wordlist_lines(w):
-    """Odd pages have a text layer, even pages were recognized; lines without separators are counted."""
+    """Odd pages have a text layer, even pages were recognized; only text layers are split at separators."""
     pages = w.raw_pages.where("raw_text <> ''").select(
         F.col("document_id").alias("file"), F.col("page_number").alias("page"), F.when(F.col("page_number") % 2 == 1, "text").otherwise("ocr").alias("kind"),
         F.explode(F.split("raw_text", "\n")).alias("block"),
     )
-    plain = pages.withColumn("block", F.when(F.col("block").rlike("[;|/,]"), F.repeat(F.lit("."), F.length("block"))).otherwise(F.col("block")))
-    return fl.pdf_entries(plain).groupBy(F.col("file").alias("document_id"), "import_method").agg(F.count("*").alias("entries"))
+    return fl.pdf_entries(pages).groupBy(F.col("file").alias("document_id"), "import_method").agg(F.countDistinct("surface_form").alias("entries"))
 
 
 @query("SRC-7", """SELECT role source, count(DISTINCT (conv_id, turn)) sentences, count(*) tokens, count(*) FILTER (cap) labelled FROM turnword GROUP BY 1""")
@@ -93,11 +95,11 @@ def source_kinds(w):
     return w.table("pages").select("page_id", kind.alias("kind"), split.alias("split"))
 
 
-@query("SRC-11", """SELECT nf normalized_surface_form, normalized_lemma normalized_dictionary_lemma, profile language_profile, max(confidence) confidence FROM mapping WHERE owner_id IS NULL OR owner_id IN ('de','en') GROUP BY 1,2,3""")
+@query("SRC-11", """SELECT nf normalized_surface_form, normalized_lemma normalized_dictionary_lemma, profile language_profile, max(confidence) confidence FROM mapping GROUP BY 1,2,3""")
 def mapping_upsert(w):
-    """Mapping rows of two owners written as csv and read back over the shared ones."""
+    """Mapping rows of all owners written as csv and read back over the shared ones."""
     folder = _folder(w, "mapping_in")
-    own = w.form_mappings.where(F.col("owner_id").isin("de", "en"))
+    own = w.form_mappings.where(F.col("owner_id").isNotNull())
     own.select(
         F.col("normalized_surface_form").alias("surface_form"), "dictionary_lemma", "language_profile", "mapping_type", "source_type", "source_key", "confidence", "review_status"
     ).distinct().write.option("header", True).csv(folder)

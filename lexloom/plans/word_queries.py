@@ -145,28 +145,58 @@ def word_search_exact(w):
 
 @query("WRD-12 SCL-13")
 def word_fuzzy_forms(w):
-    """Five most similar known lexicon forms of every vocabulary word."""
-    known = st.lexeme_values(w.lexemes, w.lexeme_forms).select("owner_id", "normalized_form").distinct()
-    return wd.fuzzy_forms(w.requests, known).select("owner_id", "query_form", "form", F.round("score", 4).alias("score"), *_long("form_rank"))
+    """Five most similar known forms of every vocabulary word in lexicon, books and wordlists."""
+    return w.fuzzy_near.select("owner_id", "query_form", "source_type", "form", F.round("score", 4).alias("score"), *_long("form_rank"))
 
 
 @query("WRD-11 WRD-12")
 def word_search_fuzzy(w):
-    """Lexicon category in fuzzy mode: evidence of the most similar forms."""
-    known = st.lexeme_values(w.lexemes, w.lexeme_forms).select("owner_id", "normalized_form").distinct()
-    near = wd.fuzzy_forms(w.requests, known).select("owner_id", F.col("query_form").alias("asked"), F.col("form").alias("query_form"))
-    hits = wd.lexicon_items(near.select("owner_id", "query_form").distinct(), w.lexemes, w.lexeme_forms, wd.lexeme_samples(w.occ, w.lexeme_forms))
-    return near.join(hits, ["owner_id", "query_form"]).select("owner_id", "asked", "query_form", "source_id", "word_form")
+    """All categories in fuzzy mode: the first ten items over the similar forms."""
+    near = w.fuzzy_near
+    ask = near.select("owner_id", F.col("form").alias("query_form")).distinct()
+    books = wd.merge_items(wd.book_items(ask, w.occ, w.documents), wd.book_lemma_items(ask, w.analyses, w.documents))
+    lists = wd.merge_items(
+        wd.entry_items(ask, w.reference_entries, w.reference_sources), wd.entry_lemma_items(ask, w.entry_analyses, w.reference_entries, w.reference_sources)
+    )
+    lexicon = wd.lexicon_items(ask, w.lexemes, w.lexeme_forms, wd.lexeme_samples(w.occ, w.lexeme_forms))
+    rows = wd.fuzzy_items(near, books.unionByName(lists).unionByName(lexicon), 10)
+    return rows.select("owner_id", "query_form", "source_type", *_long("place"), "form", "item_key", "word_form")
+
+
+@query("WRD-14", f"""SELECT owner_id, query_form, mode, provider_key, source_title, matched_form, (row_number() OVER (PARTITION BY owner_id, query_form, mode
+   ORDER BY provider_display_name, source_title, matched_form, coalesce(reference_link,'')))::BIGINT place FROM {EXTERNAL}, (VALUES ('exact'),('normalized'),('fuzzy')) m(mode)
+   WHERE mode='fuzzy' OR (mode='exact' AND matched_form=query_form) OR (mode='normalized' AND lower(matched_form)=query_form)""")
+def word_external_by_mode(w):
+    """Words asked for in lower case, in the three modes."""
+    asked = w.external_items.withColumn("raw_query", F.col("query_form"))
+    parts = [
+        wd.external_by_mode(asked, m).select("owner_id", "query_form", F.lit(m).alias("mode"), "provider_key", "source_title", "matched_form", *_long("place"))
+        for m in ("exact", "normalized", "fuzzy")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("WRD-15", f"""SELECT r.owner_id, r.query_form, 'Web dictionary' provider_display_name, e.matched_form, e.reference_link FROM {REQ} r JOIN ecur c ON c.normalized_form=r.query_form AND c.fresh JOIN eresult e ON e.cache_id=c.cache_id
+   UNION ALL SELECT r.owner_id, r.query_form, 'Nayiri Corpus', c.lemma, NULL FROM {REQ} r JOIN clookup c ON c.normalized_form=r.query_form WHERE c.lemma_rank<=5""")
+def word_check_sources(w):
+    cached = ex.cached_items(w.providers, w.external_cache, w.external_results, "normalized", w.now)
+    return wd.check_sources(w.requests, cached, w.corpus_matches)
+
+
+# Words of the vocabulary and words that stand nowhere: each with a letter put behind it.
+ASKED = f"(SELECT owner_id, query_form FROM {REQ} UNION SELECT owner_id, query_form||'qz' FROM {REQ})"
 
 
 @query("WRD-13 WRD-15", f"""SELECT r.owner_id, r.query_form, coalesce(x.matching_lexeme_count,0)>0 exists_in_lexicon, coalesce(x.matching_lexeme_count,0) matching_lexeme_count,
-   g.owner_id IS NOT NULL OR EXISTS (SELECT 1 FROM worddist d WHERE d.owner_id=r.owner_id AND d.kind='lemma' AND lower(d.value)=r.query_form) found_in_imported_books, true found_in_reference_sources,
-   coalesce(e.n,0)>0 found_in_trusted_external, coalesce(e.n,0) external_match_count FROM {REQ} r LEFT JOIN lexev x ON x.owner_id=r.owner_id AND x.normalized_form=r.query_form
+   g.owner_id IS NOT NULL OR EXISTS (SELECT 1 FROM worddist d WHERE d.owner_id=r.owner_id AND d.kind='lemma' AND lower(d.value)=r.query_form) found_in_imported_books,
+   EXISTS (SELECT 1 FROM entry d WHERE d.owner_id=r.owner_id AND d.normalized_form=r.query_form) OR EXISTS (SELECT 1 FROM eanalysis d WHERE d.owner_id=r.owner_id AND lower(d.lemma)=r.query_form) found_in_reference_sources,
+   coalesce(e.n,0)>0 found_in_trusted_external, coalesce(e.n,0) external_match_count FROM {ASKED} r LEFT JOIN lexev x ON x.owner_id=r.owner_id AND x.normalized_form=r.query_form
    LEFT JOIN groups g ON g.owner_id=r.owner_id AND g.normalized_form=r.query_form LEFT JOIN (SELECT owner_id, query_form, count(*) n FROM {EXTERNAL} GROUP BY 1,2) e ON e.owner_id=r.owner_id AND e.query_form=r.query_form""")
 def word_check(w):
     lemmas = lambda rows: rows.where("analysis_status = 'completed'").select("owner_id", F.col("lemma_normalized").alias("normalized_form")).distinct()
+    asked = w.requests.union(w.requests.select("owner_id", F.concat("query_form", F.lit("qz")))).distinct()
     return wd.quick_check(
-        w.requests, lk.lexeme_evidence(w.lexemes, w.lexeme_forms), w.group_numbers, lemmas(w.analyses), w.reference_entries, lemmas(w.entry_analyses), w.external_items
+        asked, lk.lexeme_evidence(w.lexemes, w.lexeme_forms), w.group_numbers, lemmas(w.analyses), w.reference_entries, lemmas(w.entry_analyses), w.external_items
     )
 
 
