@@ -4,16 +4,17 @@ Words are runs of letters, digits and non-ASCII characters, lower-cased in ASCII
 words is compared with windows of m words of every text (the whole text where it is shorter).
 A window's 64-bit SimHash is the bit majority over its five-word shingles, repeats counted.
 
-Only windows that can be similar at all are fingerprinted: one that shares no shingle with the
-item has similarity 0. Each shared shingle names one alignment of item and text, and the window
-at that alignment is taken. The fingerprints are searched in a multi-index: eight blocks of
-eight bits, so that of two fingerprints within ``radius`` bits some block differs by at most
-radius / 8. That lists every item within the radius, and the Hamming distance drops the rest.
-Candidates are verified by the exact weighted similarity: sum of the smaller counts of each
-shingle over the sum of the larger, 0.8 or more.
-
-At similarity 0.8 about 10 of 64 bits differ, with a deviation of 3; the radius of 24 leaves
-no pair out that chance would not need many millions of tries for.
+Only windows that can be similar at all are fingerprinted. Two windows of a and b shingles with
+similarity t share at least t / (1 + t) * (a + b) of them, so a window with fewer shingles of the
+item is left out; the others are counted out of the places of shared shingles, wherever those
+stand in the item. The fingerprints of windows and items meet in eight blocks of eight bits: of
+two fingerprints within ``radius`` bits some block differs by at most radius / 8. The Hamming
+distance drops the rest, and candidates are verified by the exact weighted similarity: sum of the
+smaller counts of each shingle over the sum of the larger, 0.8 or more.
+
+Where no shingle counts twice about 10 of 64 bits differ at similarity 0.8, with a deviation of 3;
+the radius of 24 leaves no pair out that chance would not need many millions of tries for. Windows
+and items that repeat a shingle are verified whatever their bits.
 
 The benchmark goes to the tasks in slices of at most ``SLICE_ITEMS`` items and
 ``SLICE_BYTES`` of text, each broadcast; a larger benchmark takes more passes.
@@ -39,6 +40,7 @@ from lexloom.llm import arrays as ar
 SHINGLE = 5
 SLICE_ITEMS = 4096
 SLICE_BYTES = 8 << 20
+CELLS = 1 << 18  # shingles of the windows that are fingerprinted at a time
 
 #: Bytes that are no part of a word: ASCII except letters and digits.
 BREAK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -61,6 +63,7 @@ class Index:
     counts: list[Counter]
     prints: np.ndarray
     near: np.ndarray  # [block, value, item]: the item's block is within reach of the value
+    repeats: np.ndarray  # the item holds a shingle twice
     radius: int
 
 
@@ -88,7 +91,8 @@ def build_index(ids: list, texts: list[str | None], radius: int) -> Index:
     blocks = prints.view(np.uint8).reshape(-1, 8) if len(prints) else np.zeros((0, 8), np.uint8)
     values = np.arange(256, dtype=np.uint8)
     near = np.bitwise_count(values[None, :, None] ^ blocks.T[:, None, :]) <= radius // 8
-    return Index(kept, np.array(words, np.int64), grams, counts, prints, near, radius)
+    repeats = np.array([sum(c.values()) > len(c) for c in counts], bool)
+    return Index(kept, np.array(words, np.int64), grams, counts, prints, near, repeats, radius)
 
 
 def _hits(hashes: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,43 +119,67 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index, similarity: float)
     for n, table in index.grams.items():
         shingles = ar.window_hashes(words, n)
         whole = rows[: len(shingles)] == rows[n - 1:] if len(shingles) else np.zeros(0, bool)
-        at, item, place = _hits(np.where(whole, shingles, np.uint64(0)), table)
+        at, item, _ = _hits(np.where(whole, shingles, np.uint64(0)), table)
         keep = whole[at]
-        at, item, place = at[keep], item[keep], place[keep]
-        if not len(at):
+        # One hit a place and item, by item and place.
+        hits = np.unique(item[keep].astype(np.int64) * len(rows) + at[keep])
+        if not len(hits):
             continue
-        row = rows[at]
-        low, high = bounds[row], bounds[row + 1]
-        size = np.minimum(index.words[item], high - low)
-        first = np.maximum(low, np.minimum(at - place, high - size))
-        windows = np.unique(np.stack([size - n + 1, first, row], axis=1), axis=0)
-        for length in np.unique(windows[:, 0]).tolist():
-            own = windows[windows[:, 0] == length]
-            for part in range(0, len(own), 1024):
-                _verify(own[part:part + 1024], length, n, shingles, index, similarity, bounds, best)
+        item, at = hits // len(rows), hits % len(rows)
+        first, length, item = _windows(item, at, rows, bounds, n, index, similarity)
+        for size in np.unique(length).tolist():
+            own = np.flatnonzero(length == size)
+            step = max(1, min(1024, CELLS // size))
+            for part in range(0, len(own), step):
+                some = own[part:part + step]
+                _verify(first[some], item[some], size, n, shingles, index, similarity, rows, bounds, best)
     return [(row, item, *found) for (row, item), found in sorted(best.items())]
 
 
-def _verify(windows: np.ndarray, length: int, n: int, shingles: np.ndarray, index: Index, similarity: float, bounds: np.ndarray, best: dict) -> None:
-    held = shingles[windows[:, 1][:, None] + np.arange(length)]
+def _windows(item: np.ndarray, at: np.ndarray, rows: np.ndarray, bounds: np.ndarray, n: int, index: Index, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, shingles and item of every window with as many hits as the similarity needs.
+
+    A window whose first hit is hit i holds hit i + need - 1 too, so the windows of hit i are
+    one interval of first words, and intervals of different hits of an item don't meet.
+    """
+    row = rows[at]
+    low, high = bounds[row], bounds[row + 1]
+    size = np.minimum(index.words[item], high - low)
+    length, total = size - n + 1, index.words[item] - n + 1
+    need = np.maximum(1, np.ceil(similarity / (1 + similarity) * (length + total) - 1e-9).astype(np.int64))
+    mine = np.arange(len(at))
+    last = np.minimum(mine + need - 1, len(at) - 1)
+    enough = (mine + need <= len(at)) & (item[last] == item) & (row[last] == row)
+    joined = np.concatenate([[False], (item[1:] == item[:-1]) & (row[1:] == row[:-1])])
+    after = np.where(joined, np.concatenate([[0], at[:-1]]) + 1, low)
+    begin = np.maximum(np.maximum(low, after), at[last] - length + 1)
+    count = np.where(enough, np.maximum(0, np.minimum(at, high - size) - begin + 1), 0)
+    first = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return first, np.repeat(length, count), np.repeat(item, count)
+
+
+def _verify(first: np.ndarray, item: np.ndarray, length: int, n: int, shingles: np.ndarray, index: Index, similarity: float, rows: np.ndarray, bounds: np.ndarray, best: dict) -> None:
+    held = shingles[first[:, None] + np.arange(length)]
     prints = simhashes(held)
     blocks = prints.view(np.uint8).reshape(-1, 8)
-    near = np.zeros((len(windows), len(index.ids)), bool)
+    near = np.zeros(len(first), bool)
     for b in range(8):
-        near |= index.near[b, blocks[:, b]]
-    total = np.maximum(1, index.words - SHINGLE + 1)
-    near &= (np.minimum(total, length) >= similarity * np.maximum(total, length))[None, :]
-    for w, item in zip(*np.nonzero(near)):
-        bits = int(np.bitwise_count(prints[w] ^ index.prints[item]))
-        if bits > index.radius or min(SHINGLE, index.words[item]) != n:
-            continue
+        near |= index.near[b, blocks[:, b], item]
+    bits = np.bitwise_count(prints ^ index.prints[item])
+    # The radius covers sets of different shingles; one that counts several times can turn any number of bits.
+    ordered = np.sort(held, axis=1)
+    exact = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1) | index.repeats[item]
+    for w in np.flatnonzero((near & (bits <= index.radius)) | exact).tolist():
+        row, i, start = int(rows[first[w]]), int(item[w]), int(first[w])
+        start -= int(bounds[row])
+        old = best.get((row, i), (0, 0, 0, 0, 0.0, 0))[-2:]
+        if (-1.0, start) >= old and old[0]:
+            continue  # an equal window stands no later
         mine = Counter(held[w].tolist())
-        common = sum(min(c, mine[h]) for h, c in index.counts[item].items() if h in mine)
-        got = common / (length + int(total[item]) - common)
-        row = int(windows[w, 2])
-        first = int(windows[w, 1] - bounds[row])
-        if got >= similarity and (-got, first) < best.get((row, int(item)), (0.0, 0, 0, 0, 0))[-2:]:
-            best[row, int(item)] = (first, length + n - 1, bits, got, -got, first)
+        common = sum(min(c, mine[h]) for h, c in index.counts[i].items() if h in mine)
+        got = common / (length + max(1, int(index.words[i]) - n + 1) - common)
+        if got >= similarity and (-got, start) < old:
+            best[row, i] = (start, length + n - 1, int(bits[w]), got, -got, start)
 
 
 def _slices(benchmark: DataFrame, item: str, text: str, radius: int) -> Iterator[Index]:
