@@ -10,7 +10,7 @@ from lexloom import session
 from lexloom.operators import jobs as jb, lexicon as lx
 from lexloom.plans.index_queries import _long
 from lexloom.plans.registry import query
-from lexloom.streaming import index as si, jobs as sj
+from lexloom.streaming import compaction as sc, index as si, jobs as sj
 
 
 def _epoch(name):
@@ -136,6 +136,18 @@ def stream_index(w):
     return si.slices(si.current_counts(w.spark, table))
 
 
+@query("EVT-10 LEX-6", """SELECT owner_id, normalized_form, document_id, occurrence_count, page_count, n_armenian, n_digit_mixed, n_latin, n_mixed, n_other FROM slice""")
+def stream_index_compacted(w):
+    """Index from a stream whose pages all come twice, first with their text reversed; old batches are folded into a base."""
+    pages, table, check = (_stream_folder(w, n) for n in ("pages_in", "page_counts", "pages_cp"))
+    first = w.pages.withColumn("page_text", F.reverse("page_text"))
+    for version in (first, w.pages):  # a restart takes up the files that came since
+        version.repartition(6, "document_id").write.mode("append").parquet(pages)
+        stream = w.spark.readStream.schema(w.pages.schema).option("maxFilesPerTrigger", 2).parquet(pages)
+        sc.start(stream, table, check).awaitTermination()
+    return sc.CompactedIndex(w.spark, table).slices()
+
+
 @query("EVT-1", f"SELECT job_id, job_kind, event_id, stage_code, progress_percent::BIGINT progress_percent FROM {DEDUPED}")
 def stream_event_dedupe(w):
     """Duplicate suppression with one small state per job; equals the batch result when files arrive in order."""
