@@ -44,7 +44,11 @@ def record_size(text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple = ()) -> DataFrame:
-    """What is carried of each row as ``row`` (all columns by default), its size, and the three parts of its key."""
+    """What is carried of each row as ``row`` (all columns by default), its size, and the three parts of its key.
+
+    The third part tells equal rows apart by their place in the input. Several passes work it out
+    anew, so ``docs`` has to be a stored table (a file scan): there a place is the same in every pass.
+    """
     return docs.select(
         F.struct(*(carry or [F.col(f"`{c}`") for c in docs.columns])).alias("row"), record_size(text).alias("size"),
         F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"),
