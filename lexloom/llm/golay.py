@@ -199,14 +199,43 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(held_keys, held)
 
 
+def print_links(prints: DataFrame) -> DataFrame:
+    """(a, b) of near fingerprints: a spanning forest under every key. ``prints`` holds distinct fingerprints."""
+    keyed = prints.select("print").mapInArrow(_keys, "key long, print long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long").distinct()
+
+
 def print_classes(prints: DataFrame) -> DataFrame:
     """(print, class) of every fingerprint that is linked to another; class is a fingerprint too.
 
     ``prints`` holds distinct fingerprints.
     """
-    keyed = prints.select("print").mapInArrow(_keys, "key long, print long")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    return components(links.distinct()).select(F.col("node").alias("print"), F.col("root").alias("class"))
+    return components(print_links(prints)).select(F.col("node").alias("print"), F.col("root").alias("class"))
+
+
+def set_prints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """The key, ``print`` (hash of the set of shingles) and ``simhash`` (fingerprint of the same shingles) of every row."""
+    ar.small_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in ar.chunks(batches, "t"):
+            sets = np.array([shingle_join.mark_of(s) for s in shingle_join.shingle_sets(data, offsets, words)], np.uint64)
+            near = np.array([simhash(data[a:b].tobytes(), words) for a, b in zip(offsets[:-1], offsets[1:])], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sets.view(np.int64)), pa.array(near.view(np.int64))], [key, "print", "simhash"])
+
+    return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(run, f"`{key}` {kind}, print long, simhash long")
+
+
+def set_pairs(marks: DataFrame) -> DataFrame:
+    """(a, b) of sets to compare: each with the first of its fingerprint, and the firsts of near fingerprints."""
+    sets = marks.select("print", "simhash").distinct()
+    firsts = session.save(sets.groupBy("simhash").agg(F.min("print").alias("lead")), "firsts")
+    same = sets.join(firsts, "simhash").select(F.col("lead").alias("a"), F.col("print").alias("b"))
+    links = print_links(firsts.select(F.col("simhash").alias("print")))
+    a, b = (firsts.select(F.col("simhash").alias(c), F.col("lead").alias(f"lead_{c}")) for c in "ab")
+    near = links.join(a, "a").join(b, "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _classes_of(marks: DataFrame, key: str) -> DataFrame:
@@ -229,16 +258,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     """One row of each class, with all its columns: the row of the smallest key, null last.
 
     Classes are those of near fingerprints or, where ``similarity`` is given, of word shingles
-    with that Jaccard similarity (exact, see ``shingle_join``; Golay keys reach three bits only).
+    with that Jaccard similarity. There the links that Golay keys find (three bits of 64) are verified
+    on the whole sets, and an exact join finds what lies further apart (see ``shingle_join``).
     Where rows of a class share that key the smallest hash of key and text decides; of rows
     equal in both, one stays.
     """
     k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
     keyed = docs.withColumns({k1: F.xxhash64(key, text), k2: F.xxhash64(F.lit(7), F.col(key), F.col(text))})
     slim = keyed.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(k1).alias("k1"), F.col(k2).alias("k2")).alias("row"), F.col(text).alias("text"))
-    made = fingerprints(slim, "row", "text", words) if similarity is None else shingle_join.marks(slim, "row", "text", words)
-    marks = session.save(made.select("row", "row.id", "print"), "simhash")
-    found = _classes_of(marks, "id").select("print", "class") if similarity is None else shingle_join.classes(slim, marks, "row", "text", words, similarity)
+    made = fingerprints(slim, "row", "text", words) if similarity is None else set_prints(slim, "row", "text", words)
+    marks = session.save(made.select("row", "row.id", *made.columns[1:]), "simhash")
+    found = _classes_of(marks, "id").select("print", "class") if similarity is None else shingle_join.classes(slim, marks, "row", "text", words, similarity, set_pairs(marks))
     held = marks.join(found, "print")
     leads = held.groupBy("class").agg(F.min("row").alias("lead"))
     judged = held.join(leads, "class").select(F.col("row.k1").alias(k1), F.col("row.k2").alias(k2), (F.col("row") == F.col("lead")).alias("leads"))
