@@ -64,3 +64,15 @@ def test_book_evidence_carries_no_snippet_of_losing_words(spark):
     # Before, the first snippet was an aggregate that sorts every word with its text.
     aggregates = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
     assert not any("context_snippet" in x for x in aggregates)
+
+
+def test_resolutions_and_lemmas_store_no_row_per_word(spark):
+    """Steps that need no places read distinct words; their numbers equal those of the stored tagger rows."""
+    from lexloom.operators import morphology
+
+    w = Workbench(spark, FOLDER)
+    few = morphology.word_distribution(w.tagged_words)
+    assert w.resolutions.count() and few.count() and "analyses" not in w.__dict__
+    all_rows = morphology.word_distribution(w.analyses)
+    assert few.exceptAll(all_rows.select(few.columns)).isEmpty() and few.count() == all_rows.count()
+    assert w.tagged_words.count() < w.analyses.count()
