@@ -40,6 +40,8 @@ from lexloom.llm import arrays as ar
 LONGEST, THRESHOLD, TOP, COVERED = 5, 100, 2000, 100
 #: Bits of the table of survivors (2 ** 27, 16 MB), of any input; at least eight for each hash partition.
 FILTER_BITS = 27
+#: Leading bits of a key that a summary hands on. Keys that share them are counted as one, which can only raise a count.
+KEY_BITS = 40
 #: Text bytes a hash partition stands for, and the fewest and most partitions.
 SLOT_BYTES, FEWEST_SLOTS, MOST_SLOTS = 1 << 24, 64, 1 << 20
 #: N-grams that a task gathers before it counts them, and counters it holds before it hands them on.
@@ -135,6 +137,18 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def byte_planes(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of every value, all first bytes before all second ones: those of sorted keys and small counts compress."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size:].T.tobytes()
+
+
+def from_planes(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 8 - size:] = planes.T
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def census(docs: DataFrame, slots: int, longest: int = LONGEST) -> DataFrame:
     """Sums of every task: word counters as summaries, mass of pairs and of longer n-grams by slot, words by language."""
     types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64())
@@ -206,10 +220,11 @@ class Summary:
             self.add(*np.unique(np.concatenate(parts), return_counts=True))
 
     def out(self) -> pa.RecordBatch:
-        """One row a hash partition: slot, keys, counts, lost."""
+        """One row a hash partition: slot, keys, counts, lost; keys without their last bits, both laid out by ``byte_planes``."""
         bounds = np.searchsorted(slot_of(self.keys, self.slots), np.arange(self.slots + 1))
         some = np.flatnonzero((np.diff(bounds) > 0) | (self.lost > 0))
-        packed = [[x[bounds[s]:bounds[s + 1]].tobytes() for s in some.tolist()] for x in (self.keys, self.counts)]
+        short = self.keys >> np.uint64(64 - KEY_BITS)
+        packed = [[byte_planes(x[bounds[s]:bounds[s + 1]], size) for s in some.tolist()] for x, size in ((short, KEY_BITS // 8), (self.counts, 8))]
         return pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(p, pa.binary()) for p in packed], pa.array(self.lost[some])], ["slot", "keys", "counts", "lost"])
 
 
@@ -286,7 +301,7 @@ def survivors(parts: DataFrame, capacity, slots: int, threshold: int, bits: int
                     yield from out(now, held)
                     now, held = slot, Summary(slots, None if capacity is None else capacity.value)
                 held.lost[slot] += lost.as_py()
-                held.add(np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64))
+                held.add(from_planes(keys.as_py(), KEY_BITS // 8) << np.uint64(64 - KEY_BITS), from_planes(counts.as_py(), 8).astype(np.int64))
         yield from out(now, held)
 
     def out(slot, held) -> Iterator[pa.RecordBatch]:

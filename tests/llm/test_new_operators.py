@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import rows
 
@@ -278,3 +279,17 @@ def test_descent_against_primal():
     v = np.append(w, b)
     slope = v - 2 * (z * (cost * y * np.maximum(0, 1 - y * (z @ v)))[:, None]).sum(axis=0)
     assert np.abs(slope).max() < 0.02
+
+
+def test_handed_on_summaries_are_small():
+    """Counters of a task compress to far less than the 16 bytes they have in memory, and come back."""
+    rng = np.random.default_rng(5)
+    keys, counts = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64) << np.uint64(1), rng.integers(1, 4, 200_000)
+    held = phrases.Summary(64, None)
+    held.add(keys, counts)
+    out = held.out()
+    packed = [v for c in ("keys", "counts") for v in out.column(c).to_pylist()]
+    assert sum(len(pa.compress(v, "lz4_raw", asbytes=True)) for v in packed) < 6.5 * len(held.keys)
+    short = np.concatenate([phrases.from_planes(v, phrases.KEY_BITS // 8) for v in out.column("keys").to_pylist()])
+    assert (short == held.keys >> np.uint64(64 - phrases.KEY_BITS)).all()
+    assert (np.concatenate([phrases.from_planes(v, 8) for v in out.column("counts").to_pylist()]) == held.counts.astype(np.uint64)).all()
