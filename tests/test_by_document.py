@@ -123,3 +123,55 @@ def test_corpus_filled_cache_resolves_no_lemmas(spark):
     w = Workbench(spark, FOLDER)
     all_queries()["corpus_filled_cache"].plan(w)
     assert "resolutions" not in w.__dict__ and "corpus_matches" not in w.__dict__
+
+
+def test_slice_words_hold_every_spelling(spark):
+    """Numbers as slice_counts has them; spellings with their numbers, null where the form is the only one."""
+    from lexloom.operators import occurrences
+
+    pages = spark.createDataFrame(
+        [("o", "a", "a:1", 1, "One one TWO three"), ("o", "a", "a:2", 2, "one ONE Two"), (None, "b", "b:1", 1, "Four")],
+        "owner_id string, document_id string, page_id string, page_number int, page_text string",
+    )
+    words = occurrences.page_words(pages)
+    rows, numbers = lexicon.slice_words(words), lexicon.slice_counts(words)
+    assert rows.select(numbers.columns).exceptAll(numbers).isEmpty() and rows.count() == numbers.count()
+    found = {r.normalized_form: r.spellings and [tuple(x) for x in r.spellings] for r in rows.collect()}
+    assert found == {"one": [("one", 2), ("ONE", 1), ("One", 1)], "two": [("TWO", 1), ("Two", 1)], "three": None, "four": [("Four", 1)]}
+
+
+def test_tagged_words_come_from_stored_slices(spark):
+    """The same distinct words with the same numbers, whether the texts or the stored slices are read."""
+    w, stored = Workbench(spark, FOLDER), Workbench(spark, FOLDER)
+    assert stored.document_words.count() == w.slice_numbers.count()
+    for scope in ([], ["document_id"]):
+        texts, slices = w.word_tokens(scope), stored.word_tokens(scope)
+        slices = slices.select(texts.columns)
+        assert texts.exceptAll(slices).isEmpty() and slices.exceptAll(texts).isEmpty()
+
+
+def test_candidates_read_the_texts_once(spark):
+    """Evidence is made per case from the stored slices; neither words nor tagger rows are made again for it."""
+    w = Workbench(spark, FOLDER)
+    assert w.any_candidates.count() == w.document_words.where("stages is not null").count()
+    assert not {"tagged_document_words", "tagged_words", "occ", "candidates"} & set(w.__dict__)
+    assert w.cases.select(*discovery.CASE_KEY).distinct().count() < w.document_words.count()
+
+
+def test_build_totals_read_no_reviews(spark):
+    """Reviews are unique by bucket, so a step that does not look at them needs no join with them."""
+    from lexloom.plans import all_queries
+
+    w = Workbench(spark, FOLDER)
+    plan = all_queries()["build_summary"].plan(w)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2  # the buckets and their cases, no reviews
+
+
+def test_candidates_without_an_owner(spark):
+    """They meet no evidence, yet they stay with what their own counts say."""
+    w = Workbench(spark, FOLDER)
+    one = w.case_buckets.limit(1).withColumn("owner_id", F.lit(None).cast("string")).withColumn("stages", F.array(F.lit("classical"), F.lit("classical")))
+    built = discovery.build_candidates(one, discovery.distinct_cases(one), w.case_resolutions, w.lexeme_map,
+                                       w.spark.createDataFrame([], "owner_id string, normalized_form string, entry_id string, source_id string, surface_form string, display_name string, entry_rank int, source_profile string, entry_quality string"), w.tag_cases)
+    rows = built.collect()
+    assert len(rows) == 2 and all(r.evidence_count == 0 and not r.morphology_plausible and r.canonical_reason == discovery.NO_CANON for r in rows)
