@@ -175,3 +175,9 @@ def test_candidates_without_an_owner(spark):
                                        w.spark.createDataFrame([], "owner_id string, normalized_form string, entry_id string, source_id string, surface_form string, display_name string, entry_rank int, source_profile string, entry_quality string"), w.tag_cases)
     rows = built.collect()
     assert len(rows) == 2 and all(r.evidence_count == 0 and not r.morphology_plausible and r.canonical_reason == discovery.NO_CANON for r in rows)
+
+
+def test_slice_words_group_once(spark):
+    """Collected spellings are grouped in one pass over sorted rows, not sorted and merged twice."""
+    plan = lexicon.slice_words(Workbench(spark, FOLDER).page_words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ObjectHashAggregate") == 0 and plan.count("SortAggregate") == 1 and plan.count("Exchange ") == 1
